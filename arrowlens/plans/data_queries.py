@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arrowlens.operators import hotkeys, snapshots, wide
+from arrowlens.operators import hierarchy, hotkeys, nested, snapshots, wide
 from arrowlens.sources.tables import table
 
 
@@ -32,7 +32,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotkeys.dominant_keys(table(spark, sf_dir, "olog_arr")).select("side", "elem_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_changes": p3_changes, "p4_found": p4_found, "p4_elements": p4_elements}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, sf_dir, "olog_arr")).positions()
+
+
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, sf_dir, "olog_arr")).paths()
+
+
+def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, sf_dir, "olog_arr")).cycles()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.all_items(table(spark, sf_dir, "olog_domain_session"), table(spark, sf_dir, "olog_elem"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p3_found": p3_found, "p3_changes": p3_changes, "p4_found": p4_found, "p4_elements": p4_elements, "p5_found": p5_found, "p5_paths": p5_paths, "p5_cycles": p5_cycles, "p6_found": p6_found}
 
 _P4 = """
 WITH arrows AS (SELECT DISTINCT id, src_id, dst_id FROM olog_arr),
@@ -75,4 +91,28 @@ vals AS (
 SELECT elem_id, attr_key, attr_value FROM vals WHERE attr_value IS NOT NULL
 """
 
-ORACLES = {"p1_found": _P1, "p4_found": _P4, "p4_elements": _P4_ELEMENTS}
+_LINKS = """
+WITH RECURSIVE links AS (
+  SELECT DISTINCT CASE WHEN lower(trim(kind)) = 'memberof' THEN src_id ELSE dst_id END AS child,
+         CASE WHEN lower(trim(kind)) = 'memberof' THEN dst_id ELSE src_id END AS parent
+  FROM olog_arr WHERE lower(trim(kind)) IN ('memberof', 'contains')),
+nodes AS (SELECT child AS id FROM links UNION SELECT parent FROM links),
+"""
+
+_P5 = (
+    _LINKS
+    + """
+down AS (
+  SELECT id AS elem_id, id AS root_id, 0::bigint AS depth FROM nodes WHERE id NOT IN (SELECT child FROM links)
+  UNION ALL SELECT l.child, d.root_id, d.depth + 1 FROM down d JOIN links l ON l.parent = d.elem_id),
+loose AS (SELECT id FROM nodes WHERE id NOT IN (SELECT elem_id FROM down)),
+walk AS (
+  SELECT id AS start, id AS at FROM loose
+  UNION SELECT w.start, l.parent FROM walk w JOIN links l ON l.child = w.at),
+on_cycle AS (SELECT DISTINCT w.start AS id FROM walk w JOIN links l ON l.child = w.at WHERE l.parent = w.start),
+looped AS (SELECT w.start AS elem_id, min(w.at) AS root_id FROM walk w JOIN on_cycle c ON c.id = w.at GROUP BY w.start)
+SELECT elem_id, root_id, depth FROM down UNION ALL SELECT elem_id, root_id, -1 FROM looped
+"""
+)
+
+ORACLES = {"p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p4_elements": _P4_ELEMENTS}
