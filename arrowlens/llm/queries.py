@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arrowlens.llm import copies, tokens
+from arrowlens.llm import copies, packing, quality, tokens
+from arrowlens.llm.spread import dealt
 from arrowlens.sources.tables import table
 
 
@@ -20,5 +21,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p7_ids": p7_ids}
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.document_sizes(table(spark, sf_dir, "documents"))
+    return packing.pack(sizes, table(spark, sf_dir, "token_window"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_bins(spark, sf_dir), table(spark, sf_dir, "token_window"))
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = quality.common_words(table(spark, sf_dir, "common_word"))
+    return quality.with_form(quality.statistics(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), common))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_stats(spark, sf_dir).where("form <> 'prose'").select("doc_id", "form")
+
+
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p7_ids": p7_ids, "p8_bins": p8_bins, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats}
 ORACLES: dict[str, str] = {}

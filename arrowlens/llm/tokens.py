@@ -18,6 +18,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from arrowlens.llm.spread import dealt
+
 #: Folder of the vocabulary files; every worker needs it.
 TOKENIZERS = os.environ.get("ARROWLENS_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -157,9 +159,10 @@ def token_text(ids: Column, path: str | None = None) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids). Texts are dealt out evenly first if they lie in fewer pieces than the cluster has cores."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    picked = docs.select("doc_id", "text")
-    if picked.rdd.getNumPartitions() < cores:
-        picked = picked.repartition(cores)
-    return picked.select("doc_id", token_ids(F.col("text"), path).alias("ids"))
+    """(doc_id, ids)."""
+    return dealt(docs.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), path).alias("ids"))
+
+
+def document_sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, tokens)."""
+    return dealt(docs.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), path).alias("tokens"))
