@@ -59,10 +59,10 @@ class Scratch:
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}-{version}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         version = self._version.get(name, -1) + 1
         path = self._path(name, version)
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         self._version[name] = version
         return self.spark.read.schema(df.schema).parquet(path)
 
