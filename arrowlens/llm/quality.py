@@ -108,13 +108,11 @@ def statistics(docs: DataFrame, common: list[str], keep: tuple[str, ...] = ("doc
     t = F.col("text")
     only = lambda keep_class: F.length(F.regexp_replace(t, rf"[^{keep_class}]+", ""))
     blank = t.isNull() | ~t.rlike(r"[^\s\p{Z}\x{FEFF}\x{200B}]")
-    solid = F.when(~blank, t)
+    solid = F.when(~F.col("blank"), t)
     lines = F.filter(F.split(solid, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}]"))
     words = F.filter(F.split(F.lower(solid), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
-    first = docs.select(*keep, "text", blank.alias("blank"))
-    counted = first.select(
-        *keep,
-        "blank",
+    first = docs.select(*keep, "text", F.inline(F.array(F.struct(blank.alias("blank")))))
+    sums = F.struct(
         F.coalesce(F.length("text"), F.lit(0)).alias("n"),
         _sum_lines(lines).alias("l"),
         _sum_words(words, common).alias("w"),
@@ -123,11 +121,13 @@ def statistics(docs: DataFrame, common: list[str], keep: tuple[str, ...] = ("doc
         only(r"\p{N}").alias("digits"),
         only(r"\s\p{Z}").alias("spaces"),
         only(r"\x{FFFD}ÂÃâ€¿\x{0}-\x{8}").alias("odd"),
+        only(r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}").alias("cjk"),
         only("aeiouyAEIOUYàâäáãåæèéêëìíîïòóôöõøœùúûüÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜаеёиоуыэюяАЕЁИОУЫЭЮЯ").alias("vowels"),
         (F.length("text") - F.length(F.regexp_replace(t, r"[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщ]{4,}", ""))).alias("cluster"),
         (F.length("text") - F.length(F.regexp_replace(t, r"\S{40,}", ""))).alias("long"),
-        only(r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}").alias("cjk"),
     )
+    # inline keeps Catalyst from copying the sums into every share, and into filters on the form, that uses them
+    counted = first.select(*keep, "blank", F.inline(F.array(sums)))
     ratio = lambda a, b: F.when(b > 0, a / b)
     c = F.col
     solid_n = c("n") - c("spaces")
