@@ -22,6 +22,8 @@ def session(app: str = "arrowlens", master: str | None = None, partitions: int |
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):  # the driver does all the work; counts only if no JVM runs yet
+            b = b.config("spark.driver.memory", "6g")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = b.getOrCreate()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arrowlens.operators.constraints import one_per
 from arrowlens.operators.graph import Graph, arrow_id
+from arrowlens.runtime import Scratch
 
 #: What discovery leaves out, and the largest file in bytes.
 IGNORED = r"(^|/)(node_modules|dist|build|\.git)(/|$)|\.d\.ts$"
@@ -28,8 +29,8 @@ Extractor = Callable[[str, str], list[tuple]]
 def read_files(spark: SparkSession, root: str, glob: str = "*.{ts,tsx,clj,cljs,cljc}") -> DataFrame:
     """(file, text): files under a root that are not ignored and not too large; paths are relative to the root."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.element_at(F.split(F.col("path"), re.escape(base), 2), -1)
+    base = re.sub(r"^\w+:/+", "/", root.rstrip("/")) + "/"  # schemes are written with one slash or three
+    rel = F.element_at(F.split(F.regexp_replace("path", r"^\w+:/+", "/"), re.escape(base), 2), -1)
     files = raw.where(f"length <= {MAX_BYTES}").select(rel.alias("file"), F.decode("content", "UTF-8").alias("text"))
     return files.where(~F.col("file").rlike(IGNORED)).dropDuplicates(["file"])
 
@@ -207,15 +208,18 @@ def cross_file(pending: DataFrame, elems: DataFrame) -> DataFrame:
 
 def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     """The resolved graph of staged rows."""
-    spark = staged.sparkSession
-    resolve = F.udf(resolve_specifier, "string")
+    scratch = Scratch(staged.sparkSession, "code")  # extraction runs once; each table below is read several times
+    staged = scratch.write(staged, "staged")
+    resolve = F.udf(lambda file, spec: None if file is None or spec is None else resolve_specifier(file, spec), "string", useArrow=True)
     e0 = staged.where("row IN ('elem', 'prop')")
     span = F.format_string("%s:%d:%d-%d:%d", "file", "line", "col", "end_line", "end_col")
     elem = e0.select("file", "seq", "row", F.concat_ws(":", F.lit("module"), "file", F.col("line").cast("string"), F.col("col").cast("string"), "kind", "name").alias("id"), "kind", "name", span.alias("span"), "attrs", F.col("src").alias("parent"))
+    elem = scratch.write(elem, "elem")
     files = staged.select("file").distinct()
     file_elem = files.select(F.concat(F.lit("file:"), "file").alias("id"), F.lit("file").alias("kind"), F.element_at(F.split("file", "/"), -1).alias("name"), F.col("file").alias("module"), F.lit(None).cast("string").alias("span"), F.lit("{}").alias("attrs"))
     own = elem.select("id", "kind", "name", F.col("file").alias("module"), "span", "attrs")
     local = one_per(elem.where("row = 'elem'").select("file", "name", "id", "seq"), ["file", "name"], [F.col("seq")]).drop("seq")
+    local = scratch.write(local, "local")
 
     defined = elem.where(F.col("kind").isin("function", "class", "interface", "type", "enum", "method")).select(F.col("id").alias("src_id"), F.lit("definedIn").alias("kind"), F.concat(F.lit("file:"), "file").alias("dst_id"))
     raw = staged.where("row = 'arrow' AND kind <> 'importsFrom'").select("file", "seq", "kind", "src", "dst", "dst_module")
@@ -244,6 +248,7 @@ def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     pairs = near
     for x in (defined, across, import_arrows, has, member, typed):
         pairs = pairs.unionByName(x)
+    pairs = scratch.write(pairs, "pairs")
     inverse = pairs.where("kind = 'callerOf'").select(F.col("dst_id").alias("src_id"), F.lit("calleeOf").alias("kind"), F.col("src_id").alias("dst_id"))
     arr = pairs.unionByName(inverse).select(arrow_id(F.col("src_id"), F.col("kind"), F.col("dst_id")).alias("id"), "kind", "src_id", "dst_id", F.lit("{}").alias("attrs")).dropDuplicates(["id"])
     all_elem = own.unionByName(file_elem).unionByName(modules).dropDuplicates(["id"])
