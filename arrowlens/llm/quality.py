@@ -252,7 +252,11 @@ def with_form(stats: DataFrame, fitted: dict | None = None) -> DataFrame:
 
 
 def fit(docs: DataFrame, words: DataFrame, seed: int = 7) -> tuple[dict, float]:
-    """Rules and their accuracy on a fifth of the labelled documents that was held out."""
+    """Rules and their accuracy on a fifth of the labelled documents that was held out.
+
+    So that length alone does not make junk of a text, each other labelled document stands in the sample a second
+    time as if it were 16 times as long.
+    """
     import numpy as np
 
     from arrowlens.llm.teacher import form_of
@@ -268,7 +272,11 @@ def fit(docs: DataFrame, words: DataFrame, seed: int = 7) -> tuple[dict, float]:
     pdf = statistics(solid, common, ("doc_id", "label")).toPandas()
     x, y = pdf[list(TESTED)].to_numpy(float), pdf["label"].to_numpy(str)
     held = np.arange(len(y)) % 5 == 0
-    fitted = irep(x[~held], y[~held], TESTED, seed=seed)
+    # a text that goes on for 16 times its length with the same words keeps its form; of what is tested only richness falls
+    longer = x[~held & (y != "junk")].copy()
+    longer[:, TESTED.index("richness")] /= 4
+    known_y = np.concatenate([y[~held], y[~held & (y != "junk")]])
+    fitted = irep(np.concatenate([x[~held], longer]), known_y, TESTED, seed=seed)
     return fitted, float((apply_rules(fitted, x[held]) == y[held]).mean())
 
 
