@@ -49,7 +49,7 @@ def sample_seeds(g: Graph, kinds: Sequence[str] = SEED_KINDS, size: int | None =
 
 def path_reach(g: Graph, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
     """(path, seed, id): the endpoint set of every path of up to `depth` kinds from every seed."""
-    a = g.arr.where(F.col("kind").isin(list(kinds))).select(F.col("src_id").alias("id"), F.col("kind").alias("k"), "dst_id").distinct()
+    a = g.arr.where(F.col("kind").isin(list(kinds))).select(F.col("src_id").alias("id"), F.col("kind").alias("k"), "dst_id")
     level = seeds.select(F.array().cast("array<string>").alias("path"), "seed", F.col("seed").alias("id"))
     out = None
     for _ in range(depth):
