@@ -37,6 +37,8 @@ _TABLE = "|".join(
     ]
 )
 _MARK = r"^\s*(?:[-*+•–—◦▪‣·]\s+|\[[ xX]\]\s|#?\(?\d{1,3}[.):]?\s+(?=\S)|\(?[a-zA-Z\d]{1,3}[.)]\s)"
+_VOWELS = "aeiouyAEIOUYàâäáãåæèéêëìíîïòóôöõøœùúûüÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜаеёиоуыэюяАЕЁИОУЫЭЮЯ"
+_ODD = "\ufffdÂÃâ€¿" + "".join(map(chr, range(9)))
 _SHORT = r"^\s*\S+(?:\s+\S+){0,5}\s*$"
 _ENDED = r"[.!?:;…。！？\"”)]\s*$"
 _INLINE = r"^[^,;|]{0,60}(?:(?:, |; | / | \| )[^,;|!?]{1,30}){4,}[.;]?\s*$"
@@ -120,9 +122,9 @@ def statistics(docs: DataFrame, common: list[str], keep: tuple[str, ...] = ("doc
         only(r"\p{L}\p{M}").alias("letters"),
         only(r"\p{N}").alias("digits"),
         only(r"\s\p{Z}").alias("spaces"),
-        only(r"\x{FFFD}ÂÃâ€¿\x{0}-\x{8}").alias("odd"),
+        (F.length("text") - F.length(F.translate(t, _ODD, ""))).alias("odd"),
         only(r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}").alias("cjk"),
-        only("aeiouyAEIOUYàâäáãåæèéêëìíîïòóôöõøœùúûüÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜаеёиоуыэюяАЕЁИОУЫЭЮЯ").alias("vowels"),
+        (F.length("text") - F.length(F.translate(t, _VOWELS, ""))).alias("vowels"),
         (F.length("text") - F.length(F.regexp_replace(t, r"[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщ]{4,}", ""))).alias("cluster"),
         (F.length("text") - F.length(F.regexp_replace(t, r"\S{40,}", ""))).alias("long"),
     )
