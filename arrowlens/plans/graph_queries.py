@@ -392,6 +392,22 @@ def analogues_topk(g: Graph) -> DataFrame:
     return a.select("target", "id", F.round(F.col("similarity") * 1_000_000_000).cast("bigint").alias("similarity_e9"), "rank")
 
 
+@query("""
+WITH t AS (SELECT id, name, module FROM elem WHERE kind = 'function'),
+c AS (SELECT DISTINCT src_id AS id, dst_id FROM arr WHERE kind = 'callerOf'), sz AS (SELECT id, count(*) AS n FROM c GROUP BY 1),
+sh AS (SELECT a.id AS target, b.id, count(*) AS nb FROM c a JOIN t ON t.id = a.id JOIN c b ON b.dst_id = a.dst_id AND b.id <> a.id GROUP BY 1, 2),
+nm AS (SELECT t.id AS target, e.id, 0 AS nb FROM t JOIN elem e ON e.name = t.name AND e.id <> t.id AND e.kind = 'function'),
+pr AS (SELECT target, id, max(nb) AS nb FROM (SELECT * FROM sh UNION ALL SELECT * FROM nm) x GROUP BY 1, 2),
+sc AS (SELECT p.target, p.id, greatest(CASE WHEN p.nb > 0 THEN CAST(p.nb AS DOUBLE) / (st.n + se.n - p.nb) ELSE 0 END, CASE WHEN e.name = t.name THEN 0.5 ELSE 0 END) AS s
+  FROM pr p JOIN t ON t.id = p.target JOIN elem e ON e.id = p.id AND e.kind = 'function' LEFT JOIN sz st ON st.id = p.target LEFT JOIN sz se ON se.id = p.id WHERE e.module IS DISTINCT FROM t.module),
+rk AS (SELECT target, id, s, row_number() OVER (PARTITION BY target ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0)
+SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3""")
+def analogues_all(g: Graph) -> DataFrame:
+    """Analogues of every function; analogues_topk has one in a hundred of them."""
+    a = context.analogues(g, ids(g, "function"), 3)
+    return a.select("target", "id", F.round(F.col("similarity") * 1_000_000_000).cast("bigint").alias("similarity_e9"), "rank")
+
+
 @query("SELECT a.dst_id AS from_id, count(DISTINCT a.src_id) AS n FROM arr a JOIN elem e ON e.id = a.dst_id WHERE a.kind = 'callerOf' AND e.kind = 'interface' GROUP BY 1")
 def used_by(g: Graph) -> DataFrame:
     return context.used_by(g, ids(g, "interface")).groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
