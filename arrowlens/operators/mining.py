@@ -1,7 +1,9 @@
 """Mining of path equations: which pairs of kind sequences reach the same sets from the same seeds.
 
 All paths of one length are reached by one join: reach(path + kind) = reach(path) joined with the arrows, so that
-d joins serve all paths of up to d kinds, and a path that reaches nothing is never extended.
+d joins serve all paths of up to d kinds, and a path that reaches nothing is never extended. What decides which paths
+are compared (kinds of seeds and ends) is reached from all seeds of a kind together; sets by seed are made for the
+compared paths only.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from arrowlens.operators.graph import Graph
+from arrowlens.runtime import Scratch
 
 #: Kinds that mining follows and kinds it seeds from.
 UNIVERSE = (
@@ -47,10 +50,10 @@ def sample_seeds(g: Graph, kinds: Sequence[str] = SEED_KINDS, size: int | None =
     return e.select(F.col("id").alias("seed"), F.col("kind").alias("seed_kind"), F.col("name").alias("seed_name"))
 
 
-def path_reach(g: Graph, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
-    """(path, seed, id): the endpoint set of every path of up to `depth` kinds from every seed."""
+def _lengthened(g: Graph, level: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
+    """(path, seed, id) of (seed, id): what every path of up to `depth` kinds reaches from the ids of a seed."""
     a = g.arr.where(F.col("kind").isin(list(kinds))).select(F.col("src_id").alias("id"), F.col("kind").alias("k"), "dst_id")
-    level = seeds.select(F.array().cast("array<string>").alias("path"), "seed", F.col("seed").alias("id"))
+    level = level.select(F.array().cast("array<string>").alias("path"), "seed", "id")
     out = None
     for _ in range(depth):
         last = F.try_element_at("path", F.lit(-1))
@@ -59,10 +62,26 @@ def path_reach(g: Graph, seeds: DataFrame, kinds: Sequence[str], depth: int) ->
     return out.join(g.elem.select("id"), "id", "left_semi").select("path", "seed", "id")
 
 
+def path_reach(g: Graph, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
+    """(path, seed, id): the endpoint set of every path of up to `depth` kinds from every seed."""
+    return _lengthened(g, seeds.select("seed", F.col("seed").alias("id")), kinds, depth)
+
+
+def path_kinds(g: Graph, seeds: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
+    """The result of `annotate`, reached from all seeds of a kind together instead of from each."""
+    ends = _lengthened(g, seeds.select(F.col("seed_kind").alias("seed"), F.col("seed").alias("id")), kinds, depth)
+    named = ends.join(g.elem.select("id", F.col("kind").alias("end_kind")), "id").select("path", F.col("seed").alias("seed_kind"), "end_kind")
+    return _annotated(named)
+
+
 def annotate(g: Graph, reached: DataFrame, seeds: DataFrame) -> DataFrame:
     """(path, domain_kind, codomain_kinds): the one kind of seed that reaches something, null if several; and the
     sorted kinds reached."""
     named = reached.join(seeds.select("seed", "seed_kind"), "seed").join(g.elem.select("id", F.col("kind").alias("end_kind")), "id")
+    return _annotated(named)
+
+
+def _annotated(named: DataFrame) -> DataFrame:
     kinds = named.groupBy("path").agg(F.collect_set("seed_kind").alias("d"), F.array_sort(F.collect_set("end_kind")).alias("codomain_kinds"))
     return kinds.select("path", F.when(F.size("d") == 1, F.get("d", F.lit(0))).alias("domain_kind"), "codomain_kinds")
 
@@ -119,12 +138,55 @@ def subsumed(lhs: Sequence[str], rhs: Sequence[str], kept: Sequence[tuple]) -> b
     return False
 
 
+def set_digests(g: Graph, seeds: DataFrame, paths: Sequence[Sequence[str]]) -> DataFrame:
+    """(path, seed, digest): SHA-256 of the sorted endpoint set of each of the paths from each seed that reaches any.
+
+    Composed from the right: ends(k + path) of an element is the union of ends(path) over its k-neighbours. Elements
+    with the same k-neighbours share one set, so that as many sets are made as neighbourhoods differ.
+    """
+    suffixes = {tuple(p[i:]) for p in paths for i in range(len(p))}
+    scratch, spark = Scratch(g.spark, "mine"), g.spark
+    a = g.arr.where(F.col("kind").isin(sorted({k for p in suffixes for k in p}))).groupBy("kind", F.col("src_id").alias("id")).agg(F.array_sort(F.collect_set("dst_id")).alias("near"))
+    a = scratch.write(a.withColumn("rep", F.sha2(F.to_json("near"), 256)), "steps")
+    steps = a.select("kind", "id", "rep")
+    near = a.dropDuplicates(["kind", "rep"]).select("kind", "rep", F.explode("near").alias("id"))
+    level = near.join(g.elem.select("id"), "id", "left_semi").groupBy(F.array("kind").alias("path"), "kind", "rep").agg(F.array_sort(F.collect_set("id")).alias("ends"))
+    out = None
+    longest = max(map(len, suffixes), default=0)
+    for n in range(1, longest + 1):
+        if n > 1:
+            longer = spark.createDataFrame([(list(p), list(p[1:]), p[0]) for p in sorted(suffixes) if len(p) == n], "longer array<string>, path array<string>, k string")
+            here = near.select(F.col("kind").alias("k"), F.col("rep").alias("r"), "id").join(steps, "id")
+            level = here.join(level.join(F.broadcast(longer), "path"), ["k", "kind", "rep"]).groupBy(F.col("longer").alias("path"), F.col("k").alias("kind"), F.col("r").alias("rep")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"))
+        if n < longest:
+            level = scratch.write(level, f"ends{n}")
+        digests = scratch.write(level.select("path", "kind", "rep", F.sha2(F.to_json("ends"), 256).alias("digest")), f"digests{n}")
+        out = digests if out is None else out.unionByName(digests)
+    if out is None:
+        return spark.createDataFrame([], "path array<string>, seed string, digest string")
+    wanted = F.array_join("path", ">").isin([">".join(p) for p in paths])
+    return steps.withColumnRenamed("id", "seed").join(seeds.select("seed"), "seed", "left_semi").join(out.where(wanted), ["kind", "rep"]).select("path", "seed", "digest")
+
+
+def agreement(pairs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The result of `coverage` of `evaluate`, of digests in place of sets."""
+    none = F.lit(None).cast("string")
+    l = pairs.join(digests.withColumnRenamed("path", "lhs"), "lhs").select("lhs", "rhs", "seed", F.col("digest").alias("l"), none.alias("r"))
+    r = pairs.join(digests.withColumnRenamed("path", "rhs"), "rhs").select("lhs", "rhs", "seed", none.alias("l"), F.col("digest").alias("r"))
+    both = l.unionByName(r).groupBy("lhs", "rhs", "seed").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return coverage(both.select("lhs", "rhs", F.coalesce(F.col("l") == F.col("r"), F.lit(False)).alias("same")))
+
+
 def mine_equations(g: Graph, kinds: Sequence[str] | None = None, seed_kinds: Sequence[str] = SEED_KINDS, depth: int = 3, min_coverage: float = 1.0, sample: int | None = 100) -> DataFrame:
-    """(lhs, rhs, support, total, coverage): all equations with enough coverage; rank and prune with `prune`."""
+    """(lhs, rhs, support, total, coverage): all equations with enough coverage; rank and prune with `prune`.
+
+    The candidate pairs (at most the pairs of enumerated paths, whatever the graph's size) pass through the driver.
+    """
     seeds = sample_seeds(g, seed_kinds, sample)
-    reached = path_reach(g, seeds, kinds if kinds is not None else kinds_in_use(g), depth).persist()
-    pairs = candidate_pairs(annotate(g, reached, seeds))
-    return coverage(evaluate(pairs, reach_sets(reached))).where(F.col("coverage") >= min_coverage)
+    found = candidate_pairs(path_kinds(g, seeds, kinds if kinds is not None else kinds_in_use(g), depth)).select("lhs", "rhs").distinct().collect()
+    pairs = g.spark.createDataFrame([(r.lhs, r.rhs) for r in found], "lhs array<string>, rhs array<string>")
+    digests = set_digests(g, seeds, sorted({tuple(p) for r in found for p in r}))
+    return agreement(pairs, digests).where(F.col("coverage") >= min_coverage)
 
 
 def prune(mined: DataFrame, most: int = 50) -> list[dict]:

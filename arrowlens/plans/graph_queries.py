@@ -266,11 +266,45 @@ def mine_coverage(g: Graph) -> DataFrame:
 
 @query()
 def mine_equations(g: Graph) -> DataFrame:
-    """Ranked and pruned; the pruning by already kept equations is iterative."""
-    kept = mining.prune(mining.mine_equations(g, _MINE_KINDS, _MINE_SEEDS, 3, 0.8, 100), 50)
+    """All kinds and all seeds, ranked and pruned; the pruning by already kept equations is iterative."""
+    kept = mining.prune(mining.mine_equations(g, None, mining.SEED_KINDS, 3, 0.8, None), 50)
     return g.spark.createDataFrame([(">".join(k["lhs"]), ">".join(k["rhs"]), k["support"], k["total"], k["coverage"]) for k in kept], "lhs string, rhs string, support long, total long, coverage double")
 
 
+_MINE_ALL = f"""
+WITH seeds AS (SELECT id AS seed, kind AS seed_kind FROM elem WHERE kind IN {mining.SEED_KINDS}),
+k AS (SELECT DISTINCT kind, src_id, dst_id FROM arr WHERE kind IN {mining.UNIVERSE}),
+d1 AS (SELECT DISTINCT k.kind AS path, k.kind AS last, s.seed, k.dst_id AS id FROM seeds s JOIN k ON k.src_id = s.seed),
+""" + _MINE[_MINE.index("d2 AS") :]
+
+
+def _mined_all(g: Graph) -> DataFrame:
+    return mining.path_kinds(g, mining.sample_seeds(g, size=None), mining.kinds_in_use(g), 2)
+
+
+@query(_MINE_ALL + "SELECT path, domain_kind, array_to_string(codomain_kinds, ',') AS codomain_kinds FROM notes")
+def mine_path_annotations_all(g: Graph) -> DataFrame:
+    """Of all kinds and all seeds, as the next two; the queries without _all mine 5 kinds from a sample of 100 seeds a kind."""
+    return _mined_all(g).select(F.array_join("path", ">").alias("path"), "domain_kind", listed("codomain_kinds").alias("codomain_kinds"))
+
+
+@query(_MINE_ALL + "SELECT domain_kind, lhs, rhs FROM pairs")
+def mine_candidate_pairs_all(g: Graph) -> DataFrame:
+    return mining.candidate_pairs(_mined_all(g)).select("domain_kind", F.array_join("lhs", ">").alias("lhs"), F.array_join("rhs", ">").alias("rhs"))
+
+
+@query(
+    _MINE_ALL
+    + """, sets AS (SELECT path, seed, list_sort(list(DISTINCT id)) AS ends FROM reached WHERE path IN (SELECT lhs FROM pairs UNION SELECT rhs FROM pairs) GROUP BY 1, 2),
+sides AS (SELECT p.lhs, p.rhs, s.seed, s.ends AS l, CAST(NULL AS VARCHAR[]) AS r FROM pairs p JOIN sets s ON s.path = p.lhs UNION ALL SELECT p.lhs, p.rhs, s.seed, CAST(NULL AS VARCHAR[]), s.ends FROM pairs p JOIN sets s ON s.path = p.rhs),
+joined AS (SELECT lhs, rhs, seed, max(l) AS l, max(r) AS r FROM sides GROUP BY 1, 2, 3)
+SELECT lhs, rhs, count(*) FILTER (WHERE l = r) AS support, count(*) AS total FROM joined GROUP BY 1, 2"""
+)
+def mine_coverage_all(g: Graph) -> DataFrame:
+    m = mining.mine_equations(g, None, mining.SEED_KINDS, 2, 0.0, None)
+    return m.select(F.array_join("lhs", ">").alias("lhs"), F.array_join("rhs", ">").alias("rhs"), "support", "total")
+
+
 # motifs ----------------------------------------------------------------------------------------------------------
 
 _EGO = """
