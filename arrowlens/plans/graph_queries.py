@@ -469,7 +469,7 @@ def inspect_elements(g: Graph) -> DataFrame:
 
 @query()
 def brief_elements(g: Graph) -> DataFrame:
-    b = context.brief(g, ids(g, "function").where(F.col("id").rlike(":[0-9]*000$")))
+    b = context.brief(g, ids(g, "function"))
     return b.select("id", F.size("must_call").alias("must_call"), F.size("analogues").alias("analogues"), F.size("missing_imports").alias("missing_imports"))
 
 

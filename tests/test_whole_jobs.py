@@ -78,3 +78,13 @@ def test_equations_of_all_kinds_and_seeds(spark, sf, db):
     kept = entry.queries()["mine_equations"](spark, sf).collect()
     assert kept and {(tuple(r.lhs.split(">")), tuple(r.rhs.split(">")), r.support, r.total) for r in kept} <= {w for w in want if w[2] >= 0.8 * w[3]}
     assert any(r.lhs[0] == "param" for r in got)
+
+
+def test_briefs_of_every_function(spark, sf, db):
+    prefix = entry.oracle_sql()["degrees"].rpartition("SELECT e.id, coalesce")[0]
+    call = dict(db.execute(prefix + "SELECT src_id, count(DISTINCT dst_id) FROM arr WHERE kind = 'callerOf' GROUP BY 1").fetchall())
+    away = dict(db.execute(prefix + "SELECT a.src_id, count(DISTINCT a.dst_id) FROM arr a JOIN elem s ON s.id = a.src_id JOIN elem d ON d.id = a.dst_id WHERE a.kind = 'callerOf' AND s.module <> d.module GROUP BY 1").fetchall())
+    like = dict(db.execute(f"SELECT target, count(*) FROM ({entry.oracle_sql()['analogues_all']}) q GROUP BY 1").fetchall())
+    every = [f"customer:{k}" for (k,) in db.execute("SELECT c_custkey FROM customer").fetchall()]
+    got = rows(entry.queries()["brief_elements"](spark, sf))
+    assert got == sorted(((i, call.get(i), like.get(i), away.get(i)) for i in every), key=repr)
