@@ -1,106 +1,134 @@
 """Parent-child links into full hierarchies by heavy-path decomposition.
 
-1. Links are normalised and made distinct; an id becomes a 64-bit surrogate (checked to be free of collisions).
+1. Links are normalised and made distinct; an id becomes a 128-bit surrogate (its MD5), so that among 10^11 ids a
+   collision has a chance below 10^-16.
 2. Pointer doubling separates cycles and adds up subtree sizes: after round k each node knows its 2^k-th ancestor and
    how many nodes lie within distance < 2^k below it. As depths have no gaps, the nodes whose pointer stays non-null
    from one round to the next are those on or below a cycle, and the rounds end.
 3. The child with the largest subtree continues its parent's chain. Chain heads are found by doubling along heavy
-   links only; a node keeps its place in its chain.
+   links only; a node keeps its place in its chain. A node that knows its head asks no more, so that every node is
+   asked by one node at most.
 4. Chains hang from chains; along a root path there are at most log2(n) of them. Doubling over the chain tree gives a
    head's root, depth and pre-order number; a node adds its place in the chain. A node's descendants are the interval
-   (pre, pre + size) of its root's pre-order; its path is the chain segments laid end to end.
+   (pre, pre + size) of its root's pre-order.
+5. Paths: chains are cut into pieces of PIECE nodes; the text before a piece is found by doubling over the pieces, and
+   a node's path is that text and the names of its piece up to the node. No row holds more than one piece or one path.
 
-Rounds number O(log depth), each a few joins of rows of three longs; every round is written to the shared folder, so
-that lost executors cost one round at most, and the version before is removed.
+Steps are built when they are asked for: `cycles` needs no chains. Rounds number O(log depth), each a few joins of
+narrow rows; every round is written to the shared folder, so that lost executors cost one round at most, and the
+version before is removed. Where many rows ask one node (all children of one root), the question is salted: the
+node's answer is repeated once per HOT rows that ask, for the 1000 most asked nodes.
 
 Defined results: kinds are read without letter case and outer blanks; links with a null end are ignored; a link to
 itself is a cycle of one. A child stated with several parents keeps the smallest parent id. Repeated links count once.
-An empty table gives an empty result.
+Nodes on or below a cycle have no path and no descendants. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arrowlens.functions.text import plain_kind
 from arrowlens.runtime import Scratch
 
-#: Light siblings whose offsets one task adds up at most; larger families are split into this many per part.
+#: Light siblings whose offsets one task adds up on average; larger families are split into parts.
 SIBLINGS = 20_000
+#: Rows that may ask one node before its answer is salted, and the number of nodes that are (the most asked).
+HOT, MAX_HOT = 100_000, 1000
+#: Nodes of one chain whose names lie in one row, and pre-order numbers in one block of the search for descendants.
+PIECE, BLOCK = 256, 64
+
+
+def surrogate(name: Column) -> Column:
+    return F.unhex(F.md5(name))
+
+
+def most_asked(counts: DataFrame, key: str, hot: int = HOT) -> list[tuple[bytes, int]]:
+    """(key, salts) of counts (key, n): keys with `hot` rows or more, the MAX_HOT greatest of them. Keys beyond these
+    have less than a thousandth of all rows."""
+    rows = counts.where((F.col("n") >= hot) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(MAX_HOT).collect()
+    return [(bytes(r[key]), -(-r["n"] // hot) + 1) for r in rows]
+
+
+def asked(rows: DataFrame, answers: DataFrame, key: str, by: str, hot: list[tuple[bytes, int]], how: str = "left") -> DataFrame:
+    """rows joined with answers (unique) on key; rows of hot keys are spread over salts by their column `by`."""
+    if not hot:
+        return rows.join(answers, key, how)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} binary, salts int"))
+    spread = rows.join(salts, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    copies = answers.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return spread.join(copies, [key, "salt"], how).drop("salt")
 
 
 class Hierarchy:
     """The decomposition of one set of links, as scratch tables of surrogates.
 
-    nodes(id, name), tree(id, parent, size), cyclic(id, parent, far, root), chains(id, head, place) and
-    heads(head, top, depth, pre).
+    nodes(id, name), parents(id, parent), tree(id, parent, size), cyclic(id, root, on_cycle), chains(id, head, place,
+    rooted), hung(head, top, depth, done) and heads(head, top, depth).
     """
 
-    def __init__(self, links: DataFrame):
-        self.spark = links.sparkSession
-        self.scratch = Scratch(self.spark, "tree")
-        self._links(links)
-        self._double()
-        self._cycles()
-        self._chains()
-        self._heads()
-
-    def _links(self, links: DataFrame) -> None:
+    def __init__(self, links: DataFrame, hot: int = HOT):
         """links has columns child and parent (text)."""
-        edges = links.where("child is not null and parent is not null")
-        for seed in range(8):
-            h = lambda c, s=seed: F.xxhash64(F.lit(s), F.col(c))
-            parent = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-            coded = self.scratch.replace(parent.select(h("child").alias("id"), h("parent").alias("parent"), F.col("child").alias("name"), F.col("parent").alias("above")), "links")
-            names = coded.select(F.inline(F.array(F.struct(F.col("id").alias("id"), F.col("name").alias("name")), F.struct(F.col("parent").alias("id"), F.col("above").alias("name")))))
-            self.nodes = self.scratch.replace(names.groupBy("id").agg(F.min("name").alias("name"), F.max("name").alias("other")), "nodes")
-            if self.nodes.where("name <> other").isEmpty():
-                break
-        else:
-            raise RuntimeError("no seed without collisions")
-        self.nodes = self.nodes.drop("other")
+        self.spark, self.hot = links.sparkSession, hot
+        self.scratch = Scratch(self.spark, "tree")
+        edges = links.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
+        coded = edges.select(surrogate(F.col("child")).alias("id"), surrogate(F.col("parent")).alias("parent"), F.col("child").alias("name"), F.col("parent").alias("above"))
+        coded = self.scratch.write(coded, "links")
+        ends = F.array(F.struct(F.col("id").alias("id"), F.col("name").alias("name")), F.struct(F.col("parent").alias("id"), F.col("above").alias("name")))
+        self.nodes = self.scratch.write(coded.select(F.inline(ends)).distinct(), "nodes")
         self.parents = coded.select("id", "parent")
 
-    def _double(self) -> None:
+    def _most_asked(self, rows: DataFrame, key: str) -> list[tuple[bytes, int]]:
+        return most_asked(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, self.hot)
+
+    @cached_property
+    def _doubled(self) -> tuple[DataFrame, bool]:
+        """(id, far, size) after the last round, and whether any pointer is left open."""
+        s = self.scratch
         state = self.nodes.select("id").join(self.parents, "id", "left").select("id", F.col("parent").alias("far"), F.lit(1).cast("long").alias("size"))
-        state = self.scratch.replace(state, "state")
-        open_before = -1
+        state = s.replace(state, "state")
+        before = -1
         while True:
-            still = state.where("far is not null").count()
-            if still in (0, open_before):
-                break
-            open_before = still
-            target = state.select(F.col("id").alias("far"), F.col("far").alias("farther"))
-            below = state.where("far is not null").groupBy("far").agg(F.sum("size").alias("more")).withColumnRenamed("far", "id")
-            moved = state.where("far is not null").join(target, "far").select("id", "farther")
-            state = self.scratch.replace(
-                state.select("id", "size").join(moved, "id", "left").join(below, "id", "left").select("id", F.col("farther").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")),
-                "state",
-            )
-        self.has_cycles = still > 0
-        self.state = state
-        tree = state.where("far is null").select("id", "size").join(self.parents, "id", "left")
-        self.tree = self.scratch.write(tree.select("id", "parent", "size"), "tree")
-
-    def _cycles(self) -> None:
+            asks = s.replace(state.where("far is not null").groupBy("far").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("more")), "asks")
+            still, most = asks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+            if still in (0, before):
+                return state, still > 0
+            before = still
+            hot = most_asked(asks, "far", self.hot) if most >= self.hot else []
+            answers = asks.select("far").join(state.select(F.col("id").alias("far"), F.col("far").alias("farther")), "far")
+            grown = state.join(asks.select(F.col("far").alias("id"), "more"), "id", "left").select("id", "far", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+            moved = asked(grown.where("far is not null"), answers, "far", "id", hot).select("id", F.col("farther").alias("far"), "size")
+            state = s.replace(moved.unionByName(grown.where("far is null")), "state")
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        state, _ = self._doubled
+        done = state.where("far is null").select("id", "size").join(self.parents, "id", "left")
+        return self.scratch.write(done.select("id", "parent", "size"), "tree")
+
+    @cached_property
+    def cyclic(self) -> DataFrame | None:
         """far of an open node goes on until all of them lie on cycles; the least id is found by doubling around."""
-        if not self.has_cycles:
-            self.cyclic = None
-            self.scratch.drop("state")
-            return
+        state, has_cycles = self._doubled
+        if not has_cycles:
+            return None
         s = self.scratch
-        jump = s.replace(self.state.where("far is not null").select("id", "far"), "jump")
-        on = jump.select("far").distinct().count()
+        jump = state.where("far is not null").select("id", "far")
+        on = None
         while True:
-            target = jump.select(F.col("id").alias("far"), F.col("far").alias("farther"))
-            jump = s.replace(jump.join(target, "far").select("id", F.col("farther").alias("far")), "jump")
-            now = jump.select("far").distinct().count()
+            asks = s.replace(jump.groupBy("far").agg(F.count(F.lit(1)).alias("n")), "rings")
+            now, most = asks.agg(F.count(F.lit(1)), F.max("n")).first()
+            hot = most_asked(asks, "far", self.hot) if most >= self.hot else []
             if now == on:
                 break
             on = now
-        ring = jump.select(F.col("far").alias("id")).distinct().join(self.parents, "id").join(self.nodes, "id")
+            answers = asks.select("far").join(jump.select(F.col("id").alias("far"), F.col("far").alias("farther")), "far")
+            jump = s.replace(asked(jump, answers, "far", "id", hot, "inner").select("id", F.col("farther").alias("far")), "jump")
+        ring = asks.select(F.col("far").alias("id")).join(self.parents, "id").join(self.nodes, "id")
         ring = s.replace(ring.select("id", F.col("parent").alias("far"), F.col("name").alias("least")), "ring")
-        while True:
+        while True:  # on a ring every node is asked by one other
             target = ring.select(F.col("id").alias("far"), F.col("far").alias("farther"), F.col("least").alias("other"))
             step = ring.join(target, "far").select("id", F.col("farther").alias("far"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("moved"))
             ring = s.replace(step, "ring")
@@ -110,49 +138,60 @@ class Hierarchy:
                 break
         roots = ring.select(F.col("id").alias("far"), F.col("least").alias("root"))
         on_cycle = ring.select("id", F.lit(True).alias("on_cycle"))
-        self.cyclic = s.write(jump.join(roots, "far").join(on_cycle, "id", "left").select("id", "root", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")), "cyclic")
-        s.drop("state", "jump", "ring")
-
-    def _chains(self) -> None:
-        heavy = self.tree.where("parent is not null").groupBy("parent").agg(F.max_by(F.col("id"), F.struct("size", "id")).alias("heavy")).select(F.col("heavy").alias("id"), F.lit(True).alias("follows"))
-        linked = self.tree.join(heavy, "id", "left")
-        state = linked.select("id", F.when(F.col("follows"), F.col("parent")).otherwise(F.col("id")).alias("head"), F.when(F.col("follows"), 1).otherwise(0).cast("long").alias("place"))
-        state = self.scratch.replace(state, "chains")
-        while True:
-            target = state.where("place > 0").select(F.col("id").alias("head"), F.col("head").alias("higher"), F.col("place").alias("more"))
-            step = state.join(target, "head", "left").select("id", F.coalesce("higher", "head").alias("head"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("higher").isNotNull().alias("moved"))
-            state = self.scratch.replace(step, "chains")
-            moved = not state.where("moved").isEmpty()
-            state = state.drop("moved")
-            if not moved:
-                break
-        self.chains = state
+        rooted = asked(jump, roots, "far", "id", hot, "inner").join(on_cycle, "id", "left")
+        return s.write(rooted.select("id", "root", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")), "cyclic")
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        """(id, head, place, rooted): rooted says whether the chain's head is a root."""
+        heavy = self.tree.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", "id")).alias("m")).select(F.col("m.id").alias("id"), F.lit(True).alias("follows"))
+        linked = self.tree.join(heavy, "id", "left").select("id", "parent", F.coalesce("follows", F.lit(False)).alias("follows"))
+        linked = self.scratch.replace(linked, "linked")
+        first = linked.where("NOT follows").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("done"), F.col("parent").isNull().alias("rooted"))
+        above = linked.select(F.col("id").alias("head"), (~F.col("follows")).alias("done"), F.col("parent").isNull().alias("rooted"))
+        rest = linked.where("follows").select("id", F.col("parent").alias("head")).join(above, "head").select("id", "head", F.lit(1).cast("long").alias("place"), "done", "rooted")
+        state = self.scratch.replace(first.unionByName(rest), "chains")
+        while not state.where("NOT done").isEmpty():
+            target = state.select(F.col("id").alias("head"), F.col("head").alias("higher"), F.col("place").alias("more"), F.col("done").alias("there"), F.col("rooted").alias("r"))
+            step = state.where("NOT done").drop("done", "rooted").join(target, "head").select("id", F.col("higher").alias("head"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"), F.col("r").alias("rooted"))
+            state = self.scratch.replace(state.where("done").unionByName(step), "chains")
+        return state.drop("done")
+
+    @cached_property
+    def hung(self) -> DataFrame:
+        """(head, top, depth, done): the chain that a chain hangs from and the number of its nodes above; done if that
+        chain's head is a root."""
+        heads = self.chains.where("place = 0").select(F.col("id").alias("head"), "rooted").join(self.tree.select(F.col("id").alias("head"), "parent"), "head")
+        light = heads.where("parent is not null").select("head", "parent")
+        up = self.chains.select(F.col("id").alias("parent"), F.col("head").alias("top"), F.col("place").alias("at"), F.col("rooted").alias("done"))
+        below = asked(light, up, "parent", "head", self._most_asked(light, "parent"), "inner").select("head", "top", (F.col("at") + 1).alias("depth"), "done")
+        roots = heads.where("parent is null").select("head", F.col("head").alias("top"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("done"))
+        return self.scratch.write(roots.unionByName(below), "hung")
 
-    def _heads(self) -> None:
-        """Light children hang their chain from a place of another chain; doubling over those links."""
-        heads = self.chains.where("place = 0").select(F.col("id").alias("head")).join(self.tree.select(F.col("id").alias("head"), F.col("parent"), F.col("size")), "head")
-        light = heads.where("parent is not null")
-        up = self.chains.select(F.col("id").alias("parent"), F.col("head").alias("top"), F.col("place").alias("at"))
-        state = heads.where("parent is null").select("head", F.col("head").alias("top"), F.lit(0).cast("long").alias("depth")).unionByName(light.join(up, "parent").select("head", "top", (F.col("at") + 1).alias("depth")))
-        self.hung = self.scratch.write(state, "hung")
-        self.heads = self._climb(self.hung, "depth", "heads")
+    @cached_property
+    def heads(self) -> DataFrame:
+        return self._climb(self.hung, "depth", "heads")
 
     def _climb(self, state: DataFrame, measure: str, name: str) -> DataFrame:
-        """Adds `measure` along the chain tree; a top chain points at itself."""
+        """Adds `measure` along the chain tree up to the root's chain."""
         while True:
-            target = state.where("top <> head").select(F.col("head").alias("top"), F.col("top").alias("higher"), F.col(measure).alias("more"))
-            step = state.join(target, "top", "left").select("head", F.coalesce("higher", "top").alias("top"), (F.col(measure) + F.coalesce("more", F.lit(0))).alias(measure), F.col("higher").isNotNull().alias("moved"))
-            state = self.scratch.replace(step, name)
-            moved = not state.where("moved").isEmpty()
-            state = state.drop("moved")
-            if not moved:
-                return state
+            open_ = state.where("NOT done")
+            if open_.isEmpty():
+                return state.drop("done")
+            target = state.select(F.col("head").alias("top"), F.col("top").alias("higher"), F.col(measure).alias("more"), F.col("done").alias("there"))
+            step = asked(open_.drop("done"), target, "top", "head", self._most_asked(open_, "top"), "inner").select("head", F.col("higher").alias("top"), (F.col(measure) + F.col("more")).alias(measure), F.col("there").alias("done"))
+            state = self.scratch.replace(state.where("done").unionByName(step), name)
+
+    def _placed(self) -> DataFrame:
+        """(id, head, place, top, root_id, depth) of all nodes that lie in trees."""
+        roots = self.nodes.select(F.col("id").alias("top"), F.col("name").alias("root_id"))
+        heads = asked(self.heads, roots, "top", "head", self._most_asked(self.heads, "top"), "inner").withColumnRenamed("depth", "down")
+        rows = asked(self.chains, heads, "head", "id", self._most_asked(self.chains, "head"), "inner")
+        return rows.select("id", "head", "place", "top", "root_id", (F.col("down") + F.col("place")).alias("depth"))
 
     def positions(self) -> DataFrame:
         """(elem_id, root_id, depth): depth -1 and the cycle's smallest id on or below a cycle."""
-        roots = self.nodes.select(F.col("id").alias("top"), F.col("name").alias("root_id"))
-        placed = self.chains.join(self.heads, "head").select("id", "top", (F.col("depth") + F.col("place")).alias("depth"))
-        named = placed.join(roots, "top").join(self.nodes, "id").select(F.col("name").alias("elem_id"), "root_id", "depth")
+        named = self._placed().join(self.nodes, "id").select(F.col("name").alias("elem_id"), "root_id", "depth")
         if self.cyclic is None:
             return named
         return named.unionByName(self.cyclic.join(self.nodes, "id").select(F.col("name").alias("elem_id"), F.col("root").alias("root_id"), F.lit(-1).cast("long").alias("depth")))
@@ -164,52 +203,82 @@ class Hierarchy:
         c = F.col("on_cycle")
         return self.cyclic.groupBy(F.col("root").alias("root_id")).agg(F.count(F.when(c, 1)).alias("on_cycle"), F.count(F.when(~c, 1)).alias("below"))
 
+    @cached_property
     def intervals(self) -> DataFrame:
         """(id, top, pre, size): pre-order in which the heavy child comes first; descendants are pre < x < pre + size.
 
-        The offsets of light siblings are prefix sums in two levels, so that a parent with very many children is
-        spread over parts of at most SIBLINGS children on average.
+        The offsets of light siblings are prefix sums in two levels: within parts of at most SIBLINGS children on
+        average, and over the parts of a family.
         """
         light = self.chains.where("place = 0").select("id").join(self.tree, "id").where("parent is not null")
-        family = light.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).select("parent", F.ceil(F.col("n") / SIBLINGS).cast("int").alias("parts"))
-        parted = light.join(family, "parent").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        largest = light.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        parted = light.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-largest // SIBLINGS)))).cast("int"))
         sums = parted.groupBy("parent", "part").agg(F.sum("size").alias("total"))
-        before = sums.withColumn("before", F.sum("total").over(Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("parent", "part", "before")
-        inside = Window.partitionBy("parent", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-        offset = parted.withColumn("within", F.sum("size").over(inside)).join(before, ["parent", "part"]).select(F.col("id").alias("head"), "parent", (F.coalesce("within", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("offset"))
+        before = F.sum("total").over(Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
         heavy = self.chains.where("place > 0").select("id").join(self.tree, "id").select("parent", F.col("size").alias("first"))
         up = self.chains.select(F.col("id").alias("parent"), F.col("place").alias("at"))
-        step = offset.join(heavy, "parent", "left").join(up, "parent").select("head", (F.col("at") + 1 + F.coalesce("first", F.lit(0)) + F.col("offset")).alias("pre"))
-        hung = self.hung.select("head", "top").join(step, "head", "left").select("head", "top", F.coalesce("pre", F.lit(0)).alias("pre"))
-        pre = self._climb(hung, "pre", "pre")
-        return self.chains.join(pre, "head").join(self.tree.select("id", "size"), "id").select("id", "top", (F.col("pre") + F.col("place")).alias("pre"), "size")
+        starts = sums.withColumn("before", before).join(heavy, "parent", "left").join(up, "parent")
+        starts = starts.select("parent", "part", (F.col("at") + 1 + F.coalesce("first", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("start"))
+        inside = Window.partitionBy("parent", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        offset = parted.withColumn("within", F.sum("size").over(inside)).join(starts, ["parent", "part"]).select(F.col("id").alias("head"), (F.col("start") + F.coalesce("within", F.lit(0))).alias("pre"))
+        hung = self.hung.select("head", "top", "done").join(offset, "head", "left").select("head", "top", F.coalesce("pre", F.lit(0)).alias("pre"), "done")
+        pre = self._climb(self.scratch.write(hung, "offsets"), "pre", "pre")
+        placed = asked(self.chains, pre, "head", "id", self._most_asked(self.chains, "head"), "inner")
+        rows = placed.join(self.tree.select("id", "size"), "id").select("id", "top", (F.col("pre") + F.col("place")).alias("pre"), "size")
+        return self.scratch.write(rows, "intervals")
+
+    def _pieces(self, sep: str) -> DataFrame:
+        """(piece, before, members): each piece of a chain with the text of all names above it."""
+        piece = lambda head, place: F.concat(head, F.unhex(F.lpad(F.hex(F.floor(place / PIECE)), 16, "0")))
+        cut = lambda members, n: F.array_join(F.transform(F.slice(members, F.lit(1), n), lambda m: F.concat(m["name"], F.lit(sep))), "")
+        named = self.chains.join(self.nodes, "id").select(piece(F.col("head"), F.col("place")).alias("piece"), "head", (F.col("rooted") & (F.col("place") < PIECE)).alias("base"), "place", "id", "name")
+        pieces = named.groupBy("piece", "head", "base").agg(F.array_sort(F.collect_list(F.struct("place", "id", "name"))).alias("members"))
+        pieces = self.scratch.write(pieces.withColumn("start", F.col("members")[0]["place"]), "pieces")
+        above = self.hung.where("depth > 0").select("head", F.col("top").alias("over"), F.col("depth").alias("at"))
+        first = pieces.where("start = 0 AND NOT base").select("piece", "head").join(above, "head").select("piece", piece(F.col("over"), F.col("at") - 1).alias("up"), ((F.col("at") - 1) % PIECE + 1).cast("int").alias("n"))
+        later = pieces.where("start > 0").select("piece", piece(F.col("head"), F.col("start") - 1).alias("up"), F.lit(PIECE).alias("n"))
+        links = self.scratch.write(first.unionByName(later), "links_up")
+        over = pieces.select(F.col("piece").alias("up"), F.col("members").alias("names"), F.col("base").alias("done"))
+        state = asked(links, over, "up", "piece", self._most_asked(links, "up"), "inner").select("piece", "up", cut(F.col("names"), F.col("n")).alias("before"), "done")
+        roots = pieces.where("base").select("piece", F.col("piece").alias("up"), F.lit("").alias("before"), F.lit(True).alias("done"))
+        state = self.scratch.replace(roots.unionByName(state), "above")
+        while not (open_ := state.where("NOT done")).isEmpty():
+            target = state.select(F.col("piece").alias("up"), F.col("up").alias("higher"), F.col("before").alias("more"), F.col("done").alias("there"))
+            step = asked(open_.drop("done"), target, "up", "piece", self._most_asked(open_, "up"), "inner").select("piece", F.col("higher").alias("up"), F.concat("more", "before").alias("before"), F.col("there").alias("done"))
+            state = self.scratch.replace(state.where("done").unionByName(step), "above")
+        return state.select("piece", "before").join(pieces.select("piece", "members"), "piece")
 
     def paths(self, sep: str = " > ") -> DataFrame:
         """(elem_id, root_id, depth, path, pre, descendants): path from the root; nodes on or below cycles have none."""
-        member = self.chains.join(self.nodes, "id").select("head", "place", "name")
-        chain = self.scratch.write(member.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names")), "names")
-        first = self.hung.select("head", "top", "depth")
-        state = first.join(chain.select(F.col("head").alias("top"), "names"), "top").select("head", "top", F.when(F.col("head") == F.col("top"), F.array().cast("array<string>")).otherwise(F.slice("names", F.lit(1), F.col("depth").cast("int"))).alias("before"))
-        while True:
-            target = state.where("top <> head").select(F.col("head").alias("top"), F.col("top").alias("higher"), F.col("before").alias("more"))
-            step = state.join(target, "top", "left").select("head", F.coalesce("higher", "top").alias("top"), F.when(F.col("more").isNotNull(), F.concat("more", "before")).otherwise(F.col("before")).alias("before"), F.col("higher").isNotNull().alias("moved"))
-            state = self.scratch.replace(step, "prefix")
-            moved = not state.where("moved").isEmpty()
-            state = state.drop("moved")
-            if not moved:
-                break
-        spread = state.join(chain, "head").select("head", F.posexplode(F.transform("names", lambda x, i: F.concat("before", F.slice("names", F.lit(1), i + 1)))).alias("place", "path"))
-        placed = self.chains.join(spread, ["head", "place"]).select("id", F.array_join("path", sep).alias("path"), (F.size("path") - 1).cast("long").alias("depth"))
-        roots = self.nodes.select(F.col("id").alias("top"), F.col("name").alias("root_id"))
-        return placed.join(self.intervals(), "id").join(self.nodes, "id").join(roots, "top").select(F.col("name").alias("elem_id"), "root_id", "depth", "path", "pre", (F.col("size") - 1).alias("descendants"))
+        spread = self._pieces(sep).select("before", "members", F.posexplode("members").alias("k", "m"))
+        own = F.array_join(F.transform(F.slice("members", F.lit(1), F.col("k") + 1), lambda m: m["name"]), sep)
+        pathed = spread.select(F.col("m.id").alias("id"), F.col("m.name").alias("elem_id"), F.concat("before", own).alias("path"))
+        placed = self._placed().select("id", "root_id", "depth").join(self.intervals.select("id", "pre", "size"), "id")
+        return pathed.join(placed, "id").select("elem_id", "root_id", "depth", "path", "pre", (F.col("size") - 1).alias("descendants"))
+
+    def descendants(self, ids: DataFrame | None = None) -> DataFrame:
+        """(elem_id, descendant_id): every node below each of the ids (column id, text), or below every node.
+
+        A node's interval meets only the blocks of BLOCK pre-order numbers that it covers, so that what is compared
+        grows with the result.
+        """
+        named = self.intervals.join(self.nodes, "id").select("top", "pre", "size", "name")
+        of = named.where("size > 1")
+        if ids is not None:
+            of = of.join(ids.select(F.col("id").alias("name")).distinct(), "name", "left_semi")
+        block = lambda c: F.floor(c / BLOCK)
+        last = F.col("pre") + F.col("size") - 1
+        wanted = of.select("top", F.col("name").alias("elem_id"), F.col("pre").alias("low"), last.alias("high"), F.explode(F.sequence(block(F.col("pre") + 1), block(last))).alias("block"))
+        points = named.select("top", block(F.col("pre")).alias("block"), "pre", F.col("name").alias("descendant_id"))
+        return wanted.join(points, ["top", "block"]).where("pre > low AND pre <= high").select("elem_id", "descendant_id")
 
 
 def hierarchy_links(arrows: DataFrame) -> DataFrame:
-    """(child, parent) of the memberOf and contains arrows, each link once."""
+    """(child, parent) of the memberOf and contains arrows, as often as they are stated."""
     kind = plain_kind(F.col("kind"))
     up = kind == "memberof"
     return arrows.where(kind.isin("memberof", "contains")).select(F.when(up, F.col("src_id")).otherwise(F.col("dst_id")).alias("child"), F.when(up, F.col("dst_id")).otherwise(F.col("src_id")).alias("parent"))
 
 
-def hierarchy(arrows: DataFrame) -> Hierarchy:
-    return Hierarchy(hierarchy_links(arrows))
+def hierarchy(arrows: DataFrame, hot: int = HOT) -> Hierarchy:
+    return Hierarchy(hierarchy_links(arrows), hot)

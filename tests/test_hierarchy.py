@@ -27,9 +27,9 @@ def brute(parent):
     return out
 
 
-def check(spark, parent):
+def check(spark, parent, **kw):
     want = brute(parent)
-    h = Hierarchy(links(spark, list(parent.items())))
+    h = Hierarchy(links(spark, list(parent.items())), **kw)
     got = {r.elem_id: (r.root_id, r.depth) for r in h.positions().collect()}
     assert got == {k: v[:2] for k, v in want.items()}
     rows = h.paths().collect()
@@ -39,6 +39,10 @@ def check(spark, parent):
     for n, d in below.items():
         inside = {m for m, r in at.items() if r.root_id == at[n].root_id and at[n].pre < r.pre <= at[n].pre + at[n].descendants}
         assert inside == d and at[n].descendants == len(d)
+    assert sorted(map(tuple, h.descendants().collect())) == sorted((n, m) for n, d in below.items() for m in d)
+    some = sorted(below)[::7]
+    asked = h.descendants(spark.createDataFrame([(i,) for i in [*some, *some, "nobody", None]], "id string"))
+    assert sorted(map(tuple, asked.collect())) == sorted((n, m) for n in some for m in below[n])
 
 
 def test_random_forests_with_cycles(spark):
@@ -53,6 +57,29 @@ def test_a_long_chain_and_a_wide_star(spark):
     check(spark, {f"x{i:03d}": f"x{i - 1:03d}" for i in range(1, 70)} | {f"leaf{i}": "hub" for i in range(60)})
 
 
+def test_salted_questions_and_small_pieces_change_nothing(spark, monkeypatch):
+    from arrowlens.operators import hierarchy as module
+
+    monkeypatch.setattr(module, "PIECE", 4)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    ring = {"k1": "k2", "k2": "k1"} | {f"k{i}": "k1" for i in range(3, 30)}
+    check(spark, {f"x{i:03d}": f"x{i - 1:03d}" for i in range(1, 30)} | {f"leaf{i}": "x028" for i in range(40)} | {f"m{i}": f"leaf{i % 3}" for i in range(30)} | ring, hot=3)
+
+
+def test_a_chain_of_20000_and_a_star_of_a_million(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(1, 20_000).select(F.format_string("n%05d", "id").alias("child"), F.format_string("n%05d", F.col("id") - 1).alias("parent"))
+    star = spark.range(1_000_000).select(F.format_string("leaf%d", "id").alias("child"), F.lit("hub").alias("parent"))
+    h = Hierarchy(chain.unionByName(star))
+    got = h.paths().groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deep"), F.sum(F.length("path")).alias("text"), F.max("descendants").alias("below")).collect()
+    assert {tuple(r) for r in got} == {
+        ("n00000", 20_000, 19_999, sum(6 * (d + 1) + 3 * d for d in range(20_000)), 19_999),
+        ("hub", 1_000_001, 1, 3 + sum(len(f"hub > leaf{i}") for i in range(1_000_000)), 1_000_000),
+    }
+    assert h.descendants(spark.createDataFrame([("hub",), ("n19990",)], "id string")).count() == 1_000_009
+
+
 def test_kinds_directions_repeats_and_nulls(spark):
     rows = [("1", " MemberOf ", "a", "b", "x", "y"), ("2", "contains", "b", "a", None, None), ("3", "CONTAINS", "c", "b", None, None), ("4", "calls", "q", "r", None, None), ("5", "memberOf", None, "b", None, None), ("6", None, "a", "b", None, None)]
     h = hierarchy(spark.createDataFrame(rows + rows, ARR))
