@@ -119,6 +119,12 @@ def arrow_id(src: Column, kind: Column, dst: Column) -> Column:
     return F.concat_ws(":", src, kind, dst)
 
 
+def one_row(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row for each key: of unequal ones the greatest by all other columns, so that every run keeps the same."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_m")).select(key, *(F.col(f"_m.{c}").alias(c) for c in rest)).select(df.columns)
+
+
 def element_id(module: str, line: int, col: int, kind: str, name: str) -> str:
     return f"module:{module}:{line}:{col}:{kind}:{name}"
 
@@ -151,6 +157,6 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         return F.coalesce(F.try_element_at(known, plain_kind(F.col("kind"))), F.col("kind"))
 
     elem = table(spark, sf_dir, "olog_elem").unionByName(table(spark, sf_dir, "olog_elem_ext"))
-    elem = elem.where("id IS NOT NULL").withColumn("kind", kind(ELEMENT_KINDS)).dropDuplicates(["id"])
-    arr = table(spark, sf_dir, "olog_arr").where("id IS NOT NULL").dropDuplicates(["id"]).withColumn("kind", kind(ARROW_KINDS))
+    elem = one_row(elem.where("id IS NOT NULL").withColumn("kind", kind(ELEMENT_KINDS)))
+    arr = one_row(table(spark, sf_dir, "olog_arr").where("id IS NOT NULL").withColumn("kind", kind(ARROW_KINDS)))
     return Graph(elem, arr, table(spark, sf_dir, "olog_prov"))

@@ -36,7 +36,7 @@ def commit_order(log: DataFrame) -> list[tuple[str, int]]:
     near = sorted(shas)
     shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     need = {s: 1 + max([0, *(shared(s, near[j]) for j in (i - 1, i + 1) if 0 <= j < len(near))]) for i, s in enumerate(near)}
-    return [(s, max(4, need[s])) for s in shas]
+    return [(s, need[s]) for s in shas]
 
 
 def default_fields() -> dict[str, Column]:
@@ -58,10 +58,11 @@ def snapshot_changes(snaps: DataFrame, log: DataFrame, fields: Mapping[str, Colu
     names = list(fields)
     commits = commit_order(log)
     spark = snaps.sparkSession
-    order = spark.createDataFrame([(s[:4], s, need, i) for i, (s, need) in enumerate(commits)], "c4 string, sha string, need int, at int")
+    order = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(commits)], "sha string, at int")
+    spelt = spark.createDataFrame([(s[:n], i) for i, (s, need) in enumerate(commits) for n in range(need, len(s) + 1)], "given string, at int")
     sha = F.lower(trim_blank(F.col(commit)))
     rows = snaps.select(F.col(key).alias("id"), sha.alias("given"), F.col(delivered).alias("delivered"), *(value_hash(c).alias(f"f{i}") for i, c in enumerate(fields.values()))).where("id is not null")
-    placed = rows.join(F.broadcast(order), (F.substring("given", 1, 4) == F.col("c4")) & F.col("sha").startswith(F.col("given")) & (F.length("given") >= F.col("need")))
+    placed = rows.join(F.broadcast(spelt), "given")
     held = [f"f{i}" for i in range(len(names))]
     records = placed.groupBy("id", "at").agg(F.max(F.struct("delivered", *held)).alias("m")).select("id", "at", *(f"m.{h}" for h in held))
 

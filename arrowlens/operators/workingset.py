@@ -139,8 +139,12 @@ def dot_lines(elems: DataFrame, arrows: DataFrame, synthetic: DataFrame | None =
     return ends.unionByName(out).select(F.concat_ws("|", F.col("ord.part").cast("string"), "ord.key").alias("ord"), "line")
 
 
-#: Colours of element kinds in a drawing.
-COLOURS = {"function": "#4e79a7", "method": "#76b7b2", "class": "#f28e2b", "interface": "#59a14f", "type": "#edc948", "domain": "#b07aa1", "file": "#9c755f", "module": "#bab0ac", "property": "#ff9da7"}
+#: Colours of element kinds in a drawing; kinds that are not listed are drawn as `other`.
+COLOURS = {
+    "domain": "#FFD700", "function": "#4A90D9", "method": "#5B9BD5", "class": "#70AD47", "interface": "#9B59B6",
+    "type": "#1ABC9C", "import": "#95A5A6", "module": "#7F8C8D", "file": "#BDC3C7", "property": "#E67E22",
+    "const": "#E74C3C", "var": "#C0392B", "enum": "#F39C12", "namespace": "#2ECC71", "other": "#ECF0F1",
+}
 
 
 def drawing(elems: DataFrame, arrows: DataFrame, synthetic: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +152,7 @@ def drawing(elems: DataFrame, arrows: DataFrame, synthetic: DataFrame, notes: Da
     without destination loops at its source, and its note stands in for a missing annotation."""
     colour = F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv))
     n = notes.select(F.col("target_id").alias("id"), F.col("note").alias("annotation"))
-    nodes = elems.select("id", "kind", "name", "module").join(n, "id", "left").withColumn("colour", F.coalesce(F.try_element_at(colour, F.col("kind")), F.lit("#cccccc")))
+    nodes = elems.select("id", "kind", "name", "module").join(n, "id", "left").withColumn("colour", F.coalesce(F.try_element_at(colour, F.col("kind")), F.lit(COLOURS["other"])))
     ids = elems.select("id")
     edges = arrows.select("id", "kind", "src_id", "dst_id", F.lit(None).cast("string").alias("note"), F.lit(False).alias("synthetic")).unionByName(synthetic.select("id", "kind", "src_id", F.coalesce("dst_id", "src_id").alias("dst_id"), "note", F.lit(True).alias("synthetic")))
     edges = edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arrowlens.operators import constraints, context, domain, mining, motifs, plan, traverse, workingset
-from arrowlens.operators.graph import Graph, code_graph
+from arrowlens.operators.graph import ARROW_KINDS, ELEMENT_KINDS, Graph, code_graph, store
+from arrowlens.runtime import Scratch
 from arrowlens.sources.code import cross_file
 from arrowlens.sources.lens import CTE, star_graph
 from arrowlens.sources.tables import table
@@ -348,42 +349,102 @@ def motif_instances(g: Graph) -> DataFrame:
 # domain ----------------------------------------------------------------------------------------------------------
 
 
+_CODE = """
+WITH e AS MATERIALIZED (SELECT id, max(struct_pack(kind := kind, name := name, module := module, attrs := attrs)) AS m FROM (
+  SELECT id, coalesce(MAP {KINDS}[lower(trim(kind))], kind) AS kind, name, module, attrs FROM (SELECT id, kind, name, module, attrs FROM olog_elem UNION ALL SELECT id, kind, name, module, attrs FROM olog_elem_ext)) GROUP BY id),
+elem AS MATERIALIZED (SELECT id, m.kind AS kind, m.name AS name, m.module AS module, m.attrs AS attrs FROM e),
+arr AS MATERIALIZED (SELECT DISTINCT id, CASE lower(trim(kind)) {ARROWS} ELSE kind END AS kind, src_id, dst_id FROM olog_arr WHERE id IS NOT NULL)"""
+_CODE = _CODE.replace("{KINDS}", "{" + ", ".join(f"'{k.lower()}': '{k}'" for k in ELEMENT_KINDS) + "}").replace("{ARROWS}", " ".join(f"WHEN '{k.lower()}' THEN '{k}'" for k in ARROW_KINDS))
+#: Concepts of the code graph: what a domain element refers to stands in for what it is implemented as.
+_MODEL = _CODE + ", labels AS MATERIALIZED (SELECT a.dst_id AS code_id, a.src_id AS concept FROM arr a JOIN elem d ON d.id = a.src_id WHERE d.kind = 'domain' AND a.kind = 'references')"
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> Graph:
+    g = code_graph(spark, sf_dir)
+    d = g.elem.where("kind = 'domain'").select(F.col("id").alias("src_id"))
+    own = g.arr.where("kind = 'references'").join(d, "src_id", "left_semi").select(g.arr.columns).withColumn("kind", F.lit("implementedAs"))
+    return store(g.with_arrows(g.arr.unionByName(own)), Scratch(spark, "model"))
+
+
+@query(_MODEL + " SELECT code_id, count(DISTINCT concept) AS n, string_agg(DISTINCT concept, ',' ORDER BY concept) AS domains FROM labels JOIN elem c ON c.id = code_id WHERE c.module IS NOT NULL AND NOT starts_with(c.module, 'node:') GROUP BY 1 HAVING count(DISTINCT concept) >= 2", lens=False)
+def domain_pullbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.pullbacks(_modelled(spark, sf_dir)).select("code_id", "n", listed("domains").alias("domains"))
+
+
 @query("SELECT dst_id, count(DISTINCT src_id) AS n FROM arr WHERE kind = 'implements' AND src_id LIKE 'supplier:%' GROUP BY dst_id HAVING count(DISTINCT src_id) >= 2")
-def domain_pullbacks(g: Graph) -> DataFrame:
+def shared_targets(g: Graph) -> DataFrame:
     return domain.shared_targets(g, "implements", "class")
 
 
-@query("""
-WITH labels AS (SELECT id AS code_id, 'concept:' || id AS concept FROM elem WHERE kind = 'function' AND regexp_matches(id, ':[0-9]*7$')),
-calls AS (SELECT DISTINCT src_id, dst_id FROM arr WHERE kind = 'callerOf'),
-hop AS (SELECT l.concept, c.dst_id AS node, min(l.code_id) AS via_start FROM labels l JOIN calls c ON c.src_id = l.code_id GROUP BY 1, 2)
-SELECT concept, node AS dst, via_start, 1 AS distance, 'tentative' AS status FROM hop""")
-def domain_kan_extension(g: Graph) -> DataFrame:
-    labels = ids(g, "function").where(F.col("id").rlike(":[0-9]*7$")).select(F.col("id").alias("code_id"), F.concat(F.lit("concept:"), "id").alias("concept"))
-    return domain.kan_extension(g, labels, 2, callee_kinds=("function", "interface"))
+@query(
+    _MODEL
+    + """,
+label AS (SELECT code_id, min(concept) AS concept FROM labels GROUP BY 1),
+walk AS (SELECT id FROM elem WHERE kind IN ('function', 'method', 'const') AND module IS NOT NULL AND NOT starts_with(module, 'node:')),
+calls AS MATERIALIZED (SELECT DISTINCT src_id AS caller, dst_id AS node FROM arr WHERE kind = 'callerOf' AND dst_id IN (SELECT id FROM walk)),
+s0 AS MATERIALIZED (SELECT code_id AS start, code_id AS node, concept FROM label UNION SELECT l.code_id, a.src_id, l.concept FROM label l JOIN elem e ON e.id = l.code_id AND e.kind NOT IN ('function', 'method', 'const') JOIN arr a ON a.dst_id = l.code_id AND a.kind = 'memberOf' WHERE a.src_id <> l.code_id),
+e1 AS (SELECT s.start, c.node, min(struct_pack(caller := c.caller, of := s.concept)).of AS of FROM s0 s JOIN calls c ON c.caller = s.node GROUP BY 1, 2),
+l1 AS MATERIALIZED (SELECT e1.start, e1.node, e1.of, coalesce(l.concept, e1.node) AS concept, CASE WHEN l.concept IS NULL THEN 'tentative' ELSE 'resolved' END AS status FROM e1 LEFT JOIN label l ON l.code_id = e1.node WHERE (e1.start, e1.node) NOT IN (SELECT (start, node) FROM s0)),
+e2 AS (SELECT s.start, c.node, min(struct_pack(caller := c.caller, of := s.concept)).of AS of FROM l1 s JOIN calls c ON c.caller = s.node GROUP BY 1, 2),
+l2 AS (SELECT e2.start, e2.node, e2.of, coalesce(l.concept, e2.node) AS concept, CASE WHEN l.concept IS NULL THEN 'tentative' ELSE 'resolved' END AS status FROM e2 LEFT JOIN label l ON l.code_id = e2.node WHERE (e2.start, e2.node) NOT IN (SELECT (start, node) FROM s0 UNION ALL SELECT (start, node) FROM l1)),
+every AS (SELECT of AS concept, concept AS dst, start AS via_start, 1 AS distance, status FROM l1 UNION ALL SELECT of, concept, start, 2, status FROM l2)
+SELECT concept, dst, via_start, distance, status FROM (SELECT *, row_number() OVER (PARTITION BY concept, dst ORDER BY distance, via_start, status) AS rn FROM every) x WHERE rn = 1""",
+    lens=False,
+)
+def domain_kan_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.kan_extension(_modelled(spark, sf_dir))
+
+
+_CANDIDATES = """, cand AS (SELECT id, kind, name FROM elem WHERE kind IN ('interface', 'class', 'type') AND module IS NOT NULL AND NOT starts_with(module, 'node:')),
+known AS (SELECT code_id, max(concept) AS concept FROM labels GROUP BY 1),
+prop AS (SELECT DISTINCT c.id AS candidate, p.id AS property, CASE WHEN contains(p.name, '.') THEN substring(p.name, position('.' IN p.name) + 1) ELSE p.name END AS field,
+  coalesce(p.attrs ->> '$.typeText', '') AS tt, coalesce(p.attrs ->> '$.optional' = 'true', false) AS optional FROM cand c JOIN arr h ON h.src_id = c.id AND h.kind = 'hasProperty' JOIN elem p ON p.id = h.dst_id)"""
 
 
 @query(
-    r"""
-WITH e AS (SELECT DISTINCT id, lower(trim(kind)) AS kind, module, attrs FROM olog_elem), a AS (SELECT DISTINCT kind, src_id, dst_id FROM olog_arr),
-c AS (SELECT DISTINCT id FROM e WHERE kind IN ('interface', 'class', 'type') AND module IS NOT NULL AND module NOT LIKE 'node:%')
-SELECT c.id AS candidate, h.dst_id AS property, t.dst_id AS codomain FROM c JOIN a h ON h.src_id = c.id AND h.kind = 'hasProperty'
-JOIN a t ON t.src_id = h.dst_id AND t.kind = 'hasType' WHERE h.dst_id IN (SELECT id FROM e UNION SELECT id FROM olog_elem_ext)""",
+    _MODEL
+    + _CANDIDATES
+    + """, rows AS (
+  SELECT DISTINCT p.candidate, 'has ' || p.field AS name, p.property, t.dst_id AS type_id, NOT p.optional AND NOT contains(p.tt, '[]') AND NOT contains(p.tt, 'Array<') AS total, 'field' AS source FROM prop p JOIN arr t ON t.src_id = p.property AND t.kind = 'hasType'
+  UNION ALL SELECT DISTINCT c.id, h.kind, NULL, h.dst_id, true, h.kind FROM cand c JOIN arr h ON h.src_id = c.id AND h.kind IN ('extends', 'implements')),
+placed AS (SELECT r.*, CASE WHEN r.type_id IN (SELECT id FROM cand) THEN 'candidate' WHEN k.concept IS NOT NULL THEN 'concept' ELSE 'type' END AS codomain_kind, k.concept FROM rows r JOIN elem t ON t.id = r.type_id LEFT JOIN known k ON k.code_id = r.type_id)
+SELECT candidate, name, property, CASE codomain_kind WHEN 'concept' THEN concept ELSE type_id END AS codomain, codomain_kind, total, source, CASE codomain_kind WHEN 'type' THEN 'unresolved' ELSE 'resolved' END AS confidence, NOT total AS asks
+FROM placed WHERE source = 'field' OR codomain_kind <> 'type'""",
     lens=False,
 )
 def domain_field_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.field_arrows(code_graph(spark, sf_dir)).select("candidate", "property", "codomain")
+    a = domain.field_arrows(_modelled(spark, sf_dir))
+    return a.select("candidate", "name", "property", "codomain", "codomain_kind", "total", "source", "confidence", F.col("question").isNotNull().alias("asks"))
 
 
 @query(
-    r"""
-SELECT DISTINCT name, (CASE WHEN regexp_matches(p, '^[AEIOUaeiou]') THEN 'an ' ELSE 'a ' END) || p AS phrase FROM (
-  SELECT name, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[-_.\s]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || substring(w, 2)), ' ') AS p
-  FROM part_names) x""".replace("part_names", "(SELECT DISTINCT p_name AS name FROM part) y"),
+    _MODEL
+    + _CANDIDATES
+    + """ SELECT id AS candidate, 'alias' AS about FROM cand WHERE kind = 'type' AND id NOT IN (SELECT candidate FROM prop)
+UNION ALL SELECT DISTINCT candidate, field FROM prop WHERE (contains(tt, 'Record<') OR (starts_with(tt, '{') AND NOT contains(tt, 'null'))) AND property NOT IN (SELECT src_id FROM arr WHERE kind = 'hasType')""",
     lens=False,
 )
+def domain_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.candidate_questions(_modelled(spark, sf_dir))
+
+
+_PHRASE = "(CASE WHEN regexp_matches(p, '^[AEIOUaeiou]') THEN 'an ' ELSE 'a ' END) || p"
+_SPELT = "array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace({n}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), ' '), lambda w: w <> ''), lambda w: coalesce(MAP {map}[w], w)), ' ')".replace("{map}", "{" + ", ".join(f"'{a}': '{b}'" for a, b in domain.ABBREVIATIONS.items()) + "}")
+_CAPPED = "array_to_string(list_transform(list_filter(string_split(l, '{m}'), lambda w: w <> ''), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ')"
+
+
+@query(f"SELECT name, {_PHRASE} AS phrase FROM (SELECT name, {_SPELT.replace('{n}', 'name')} AS p FROM (SELECT DISTINCT name FROM olog_elem WHERE name IS NOT NULL) y) x", lens=False)
 def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().select("name", domain.noun_phrase(F.col("name"), {"": ""}).alias("phrase"))
+    return table(spark, sf_dir, "olog_elem").where("name IS NOT NULL").select("name").distinct().select("name", domain.noun_phrase(F.col("name")).alias("phrase"))
+
+
+@query(
+    f"""SELECT name, {_PHRASE} AS phrase FROM (SELECT name, CASE WHEN contains(l, '-') THEN {_CAPPED.replace('{m}', '-')} WHEN contains(l, '_') THEN {_CAPPED.replace('{m}', '_')} ELSE {_SPELT.replace('{n}', '(upper(substring(l, 1, 1)) || substring(l, 2))')} END AS p
+FROM (SELECT DISTINCT name, string_split(name, '/')[-1] AS l FROM olog_elem WHERE name IS NOT NULL) y) x""",
+    lens=False,
+)
+def noun_phrases_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "olog_elem").where("name IS NOT NULL").select("name").distinct().select("name", domain.noun_phrase_of_name(F.col("name")).alias("phrase"))
 
 
 @query("""
@@ -412,7 +473,7 @@ def dedup_keepers(g: Graph) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT id, name, module FROM elem WHERE kind = 'function' AND regexp_matches(id, ':[0-9]*00$')),
+WITH t AS (SELECT id, name, module FROM elem WHERE kind = 'function' AND CAST(substring(id, 10) AS BIGINT) % 20 = 0),
 c AS (SELECT DISTINCT src_id AS id, dst_id FROM arr WHERE kind = 'callerOf'), sz AS (SELECT id, count(*) AS n FROM c GROUP BY 1),
 sh AS (SELECT a.id AS target, b.id, count(*) AS nb FROM c a JOIN t ON t.id = a.id JOIN c b ON b.dst_id = a.dst_id AND b.id <> a.id GROUP BY 1, 2),
 nm AS (SELECT t.id AS target, e.id, 0 AS nb FROM t JOIN elem e ON e.name = t.name AND e.id <> t.id AND e.kind = 'function'),
@@ -422,7 +483,8 @@ sc AS (SELECT p.target, p.id, greatest(CASE WHEN p.nb > 0 THEN CAST(p.nb AS DOUB
 rk AS (SELECT target, id, s, row_number() OVER (PARTITION BY target ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0)
 SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3""")
 def analogues_topk(g: Graph) -> DataFrame:
-    a = context.analogues(g, ids(g, "function").where(F.col("id").rlike(":[0-9]*00$")), 3)
+    """A search: its queries are the functions whose number is divisible by 20, against all; analogues_all asks for all."""
+    a = context.analogues(g, ids(g, "function").where(F.substring("id", 10, 20).cast("bigint") % 20 == 0), 3)
     return a.select("target", "id", F.round(F.col("similarity") * 1_000_000_000).cast("bigint").alias("similarity_e9"), "rank")
 
 
@@ -437,7 +499,7 @@ sc AS (SELECT p.target, p.id, greatest(CASE WHEN p.nb > 0 THEN CAST(p.nb AS DOUB
 rk AS (SELECT target, id, s, row_number() OVER (PARTITION BY target ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0)
 SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3""")
 def analogues_all(g: Graph) -> DataFrame:
-    """Analogues of every function; analogues_topk has one in a hundred of them."""
+    """Analogues of every function."""
     a = context.analogues(g, ids(g, "function"), 3)
     return a.select("target", "id", F.round(F.col("similarity") * 1_000_000_000).cast("bigint").alias("similarity_e9"), "rank")
 
@@ -447,9 +509,9 @@ def used_by(g: Graph) -> DataFrame:
     return context.used_by(g, ids(g, "interface")).groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a.src_id AS from_id, a.dst_id AS id FROM arr a WHERE a.kind = 'callerOf' AND a.src_id = 'customer:1'")
+@query("SELECT a.src_id AS from_id, a.dst_id AS id FROM arr a JOIN elem e ON e.id = a.src_id WHERE a.kind = 'callerOf' AND e.kind = 'function'")
 def must_call(g: Graph) -> DataFrame:
-    return context.must_call(g, g.element("customer:1")).select("from_id", "id")
+    return context.must_call(g, ids(g, "function")).select("from_id", "id")
 
 
 @query("SELECT a.src_id AS from_id, a.dst_id AS id FROM arr a JOIN elem s ON s.id = a.src_id JOIN elem d ON d.id = a.dst_id WHERE a.kind = 'callerOf' AND s.module <> d.module")

@@ -32,11 +32,13 @@ def session(app: str = "arrowlens", master: str | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session whose executors are this machine may
+    leave it unset; it gets a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = _FALLBACK_SHARED
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 

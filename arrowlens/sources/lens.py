@@ -47,7 +47,7 @@ FROM (SELECT id, CASE WHEN kind IN ('type', 'property', 'enum', 'const') THEN 5
 """
 
 #: Prefix of SQL over the lens; `WITH RECURSIVE` so that a query may add recursive tables.
-CTE = f"WITH RECURSIVE elem AS ({ELEM}), arr0 AS ({ARR}), arr AS (SELECT src_id || ':' || kind || ':' || dst_id AS id, * FROM arr0), prov AS ({PROV})"
+CTE = f"WITH RECURSIVE elem AS MATERIALIZED ({ELEM}), arr0 AS ({ARR}), arr AS MATERIALIZED (SELECT src_id || ':' || kind || ':' || dst_id AS id, * FROM arr0), prov AS MATERIALIZED ({PROV})"
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 

@@ -98,19 +98,46 @@ def test_ego_and_shapes(g):
 
 def test_domain(g):
     assert [(r.code_id, r.domains) for r in domain.pullbacks(g).collect()] == [("f1", ["D", "D2"])]
-    labels = g.spark.createDataFrame([("f1", "D"), ("f3", "D2")], "code_id string, concept string")
-    k = domain.kan_extension(g, labels, 2)
-    assert sorted((r.concept, r.dst, r.status) for r in k.collect()) == [("D", "D2", "resolved"), ("D", "f2", "tentative"), ("D", "f4", "tentative"), ("D2", "D", "resolved"), ("D2", "f4", "tentative")]
-    names = g.spark.createDataFrame([("PaymentReq",), ("ns/http-client",), ("HTMLParser",), ("id",)], "n string")
+    k = domain.kan_extension(g)
+    assert sorted((r.concept, r.dst, r.status) for r in k.collect()) == [("D", "D2", "resolved"), ("D", "f2", "tentative"), ("D2", "f4", "tentative"), ("f4", "D", "resolved")]
+    names = g.spark.createDataFrame([("OlogElem",), ("PaymentReq",), ("http-elem",), ("HTMLParser",), ("SrcId",), ("Ctor",), ("V2Val",)], "n string")
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in names.select(domain.noun_phrase(F.col("n"))).collect()] == ["a Payment Request", "a Http Client", "a HTML Parser", "an Identifier"]
+    assert [r[0] for r in names.select(domain.noun_phrase(F.col("n"))).collect()] == ["an Olog Element", "a Payment Request", "a http-elem", "a HTML Parser", "a Source ID", "a Constructor", "a V2Val"]
+    names = g.spark.createDataFrame([("ns/http-elem",), ("load_src_id",), ("loadSrcId",), ("x",), ("a/" + "w" * 20_000,)], "n string")
+    assert [r[0] for r in names.select(domain.noun_phrase_of_name(F.col("n"))).collect()] == ["a Http Elem", "a Load Src Id", "a Load Source ID", "a X", "a W" + "w" * 19_999]
     kept = domain.keepers(g, g.spark.createDataFrame([("d", "D"), ("d", "D2")], "key string, id string"))
     assert {(r.id, r.keeper) for r in kept.collect()} == {("D", "D2"), ("D2", "D2")}
     m = domain.merge_duplicates(g, kept)
     assert "D" not in col(m.elem) and m.arr.where("src_id = 'D' OR dst_id = 'D'").isEmpty() and m.arr.where("src_id = 'D2' AND kind = 'implementedAs'").count() == 2
 
 
+def test_kan_members_speak_for_their_class(spark):
+    elem = [("K", "class", "K", "m"), ("k1", "method", "k1", "m"), ("t", "function", "t", "m"), ("x", "function", "x", None), ("D", "domain", "D", None)]
+    arr = [("implementedAs", "D", "K"), ("memberOf", "k1", "K"), ("callerOf", "k1", "t"), ("callerOf", "k1", "x")]
+    g = from_rows(spark.createDataFrame(elem, "id string, kind string, name string, module string"), spark.createDataFrame(arr, "kind string, src_id string, dst_id string"))
+    assert [tuple(r) for r in domain.kan_extension(g).collect()] == [("D", "t", "K", 1, "tentative")]
+    assert domain.kan_extension(g, depth=0).collect() == []
+
+
+def test_discovery(spark):
+    elem = [("A", "interface", "OrderReq", "m", "{}"), ("B", "class", "Base", "m", "{}"), ("T", "type", "Mode", "m", "{}"), ("E", "enum", "Hue", "m", "{}"), ("X", "class", "Ext", "node:fs", "{}"), ("D", "domain", "a Hue", None, "{}"),
+            ("p1", "property", "OrderReq.a.b", "m", '{"typeText":"Base[]"}'), ("p2", "property", "OrderReq.hue", "m", '{"typeText":"Hue","optional":true}'), ("p3", "property", "OrderReq.bag", "m", '{"typeText":"Record<string, x>"}'), ("p4", "property", "base", "m", "{}")]
+    arr = [("hasProperty", "A", p) for p in ("p1", "p2", "p3", "p4", "nope")] + [("hasType", "p1", "B"), ("hasType", "p2", "E"), ("hasType", "p4", "gone"), ("hasType", "p4", "X"), ("extends", "A", "B"), ("implements", "B", "X"), ("implementedAs", "D", "E")]
+    g = from_rows(spark.createDataFrame(elem, "id string, kind string, name string, module string, attrs string"), spark.createDataFrame(arr, "kind string, src_id string, dst_id string"))
+    rows = {(r.candidate, r.phrase, r.name, r.codomain, r.codomain_kind, r.total, r.confidence, r.question is not None) for r in domain.field_arrows(g).collect()}
+    a = ("A", "an Order Request")
+    assert rows == {(*a, "has a.b", "B", "candidate", False, "resolved", True), (*a, "has hue", "D", "concept", False, "resolved", True), (*a, "has base", "X", "type", True, "unresolved", False), (*a, "extends", "B", "candidate", True, "resolved", False)}
+    assert {tuple(r) for r in domain.candidate_questions(g).collect()} == {("T", "alias"), ("A", "bag")}
+
+
+def test_drawing(g):
+    w = workingset.WorkingSets.empty(g.spark)
+    nodes, edges = workingset.drawing(g.elem, g.arr, g.spark.createDataFrame([("s", "y", "guess", "f1", None, "why", "me")], workingset.SYNTHETIC), w.notes)
+    assert {(r.kind, r.colour) for r in nodes.collect()} == {("function", "#4A90D9"), ("class", "#70AD47"), ("interface", "#9B59B6"), ("file", "#BDC3C7"), ("domain", "#FFD700")}
+    assert [(r.src_id, r.dst_id, r.annotation) for r in edges.where("synthetic").collect()] == [("f1", "f1", "why")]
+
+
 def test_context(g):
     assert [(r.target, r.id, r.similarity) for r in context.analogues(g, seed(g, "f1", "f2")).orderBy("target").collect()] == [("f1", "f5", 1.0), ("f2", "f5", 0.5)]
     assert col(context.used_by(g, seed(g, "f3"))) == ["f1", "f2", "f5"]

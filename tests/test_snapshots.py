@@ -50,6 +50,11 @@ def test_nulls_unknown_and_ambiguous_commits(spark):
     assert changes(spark, [("aaaa2", 0, "x", "k", "n", None, None, "{}")], [(near[0], t(0)), (near[1], t(1))]) == [("a", "x", "added", None)]
 
 
+def test_short_abbreviations_that_are_unique_count(spark):
+    log = [("ab" + "0" * 38, t(0)), ("ac" + "0" * 38, t(1))]
+    assert changes(spark, [("AB", 0, "x", "k", "n", None, None, "{}"), ("ac0", 1, "y", "k", "n", None, None, "{}"), ("a", 1, "z", "k", "n", None, None, "{}")], log) == [("a", "x", "removed", None), ("a", "y", "added", None)]
+
+
 def test_empty(spark):
     assert changes(spark, []) == []
     assert changes(spark, [], []) == []
