@@ -84,38 +84,43 @@ class Hierarchy:
         return most_asked(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, self.hot)
 
     @cached_property
-    def _doubled(self) -> tuple[DataFrame, bool]:
-        """(id, far, size) after the last round, and whether any pointer is left open."""
-        s = self.scratch
-        state = self.nodes.select("id").join(self.parents, "id", "left").select("id", F.col("parent").alias("far"), F.lit(1).cast("long").alias("size"))
-        state = s.replace(state, "state")
-        before = -1
+    def _doubled(self) -> tuple[DataFrame, list[DataFrame], bool]:
+        """Pointers (id, far, size) left open after the last round, what each round added to subtree sizes (far, n,
+        more), and whether there are open pointers. A round rewrites open pointers only."""
+        s, gains, before = self.scratch, [], -1
+        state = self.parents.select("id", F.col("parent").alias("far"), F.lit(1).cast("long").alias("size"))
         while True:
-            asks = s.replace(state.where("far is not null").groupBy("far").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("more")), "asks")
+            asks = s.write(state.groupBy("far").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("more")), "asks")
             still, most = asks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
             if still in (0, before):
-                return state, still > 0
+                return state, gains, still > 0
+            gains.append(asks)
             before = still
             hot = most_asked(asks, "far", self.hot) if most >= self.hot else []
             answers = asks.select("far").join(state.select(F.col("id").alias("far"), F.col("far").alias("farther")), "far")
-            grown = state.join(asks.select(F.col("far").alias("id"), "more"), "id", "left").select("id", "far", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-            moved = asked(grown.where("far is not null"), answers, "far", "id", hot).select("id", F.col("farther").alias("far"), "size")
-            state = s.replace(moved.unionByName(grown.where("far is null")), "state")
+            moved = asked(state, answers, "far", "id", hot, "inner").select("id", F.col("farther").alias("far"), "size")
+            grown = moved.join(asks.select(F.col("far").alias("id"), "more"), "id", "left").select("id", "far", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+            state = s.replace(grown, "state")
 
     @cached_property
     def tree(self) -> DataFrame:
-        state, _ = self._doubled
-        done = state.where("far is null").select("id", "size").join(self.parents, "id", "left")
-        return self.scratch.write(done.select("id", "parent", "size"), "tree")
+        state, gains, has_cycles = self._doubled
+        rows = self.nodes.select("id", F.lit(1).cast("long").alias("size"))
+        for g in gains:
+            rows = rows.unionByName(g.select(F.col("far").alias("id"), F.col("more").alias("size")))
+        sizes = rows.groupBy("id").agg(F.sum("size").alias("size"))
+        if has_cycles:
+            sizes = sizes.join(state.select("id"), "id", "left_anti")
+        return self.scratch.write(sizes.join(self.parents, "id", "left").select("id", "parent", "size"), "tree")
 
     @cached_property
     def cyclic(self) -> DataFrame | None:
         """far of an open node goes on until all of them lie on cycles; the least id is found by doubling around."""
-        state, has_cycles = self._doubled
+        state, _, has_cycles = self._doubled
         if not has_cycles:
             return None
         s = self.scratch
-        jump = state.where("far is not null").select("id", "far")
+        jump = state.select("id", "far")
         on = None
         while True:
             asks = s.replace(jump.groupBy("far").agg(F.count(F.lit(1)).alias("n")), "rings")
@@ -182,12 +187,15 @@ class Hierarchy:
             step = asked(open_.drop("done"), target, "top", "head", self._most_asked(open_, "top"), "inner").select("head", F.col("higher").alias("top"), (F.col(measure) + F.col("more")).alias(measure), F.col("there").alias("done"))
             state = self.scratch.replace(state.where("done").unionByName(step), name)
 
-    def _placed(self) -> DataFrame:
-        """(id, head, place, top, root_id, depth) of all nodes that lie in trees."""
+    def _rooted_heads(self) -> DataFrame:
+        """(head, top, root_id, down): each chain with its root and the depth of its head."""
         roots = self.nodes.select(F.col("id").alias("top"), F.col("name").alias("root_id"))
-        heads = asked(self.heads, roots, "top", "head", self._most_asked(self.heads, "top"), "inner").withColumnRenamed("depth", "down")
-        rows = asked(self.chains, heads, "head", "id", self._most_asked(self.chains, "head"), "inner")
-        return rows.select("id", "head", "place", "top", "root_id", (F.col("down") + F.col("place")).alias("depth"))
+        return asked(self.heads, roots, "top", "head", self._most_asked(self.heads, "top"), "inner").withColumnRenamed("depth", "down")
+
+    def _placed(self) -> DataFrame:
+        """(id, root_id, depth) of all nodes that lie in trees."""
+        rows = asked(self.chains, self._rooted_heads(), "head", "id", self._most_asked(self.chains, "head"), "inner")
+        return rows.select("id", "root_id", (F.col("down") + F.col("place")).alias("depth"))
 
     def positions(self) -> DataFrame:
         """(elem_id, root_id, depth): depth -1 and the cycle's smallest id on or below a cycle."""
@@ -228,12 +236,14 @@ class Hierarchy:
         return self.scratch.write(rows, "intervals")
 
     def _pieces(self, sep: str) -> DataFrame:
-        """(piece, before, members): each piece of a chain with the text of all names above it."""
+        """(piece, before, members, root_id, down): each piece of a chain with the text of all names above it."""
         piece = lambda head, place: F.concat(head, F.unhex(F.lpad(F.hex(F.floor(place / PIECE)), 16, "0")))
         cut = lambda members, n: F.array_join(F.transform(F.slice(members, F.lit(1), n), lambda m: F.concat(m["name"], F.lit(sep))), "")
-        named = self.chains.join(self.nodes, "id").select(piece(F.col("head"), F.col("place")).alias("piece"), "head", (F.col("rooted") & (F.col("place") < PIECE)).alias("base"), "place", "id", "name")
-        pieces = named.groupBy("piece", "head", "base").agg(F.array_sort(F.collect_list(F.struct("place", "id", "name"))).alias("members"))
-        pieces = self.scratch.write(pieces.withColumn("start", F.col("members")[0]["place"]), "pieces")
+        whole = self.chains.join(self.nodes, "id").join(self.intervals.select("id", "pre", "size"), "id")
+        named = whole.select(piece(F.col("head"), F.col("place")).alias("piece"), "head", (F.col("rooted") & (F.col("place") < PIECE)).alias("base"), F.struct("place", "name", "pre", "size").alias("m"))
+        pieces = named.groupBy("piece", "head", "base").agg(F.array_sort(F.collect_list("m")).alias("members"))
+        pieces = pieces.withColumn("start", F.col("members")[0]["place"]).join(self._rooted_heads().drop("top"), "head")
+        pieces = self.scratch.write(pieces, "pieces")
         above = self.hung.where("depth > 0").select("head", F.col("top").alias("over"), F.col("depth").alias("at"))
         first = pieces.where("start = 0 AND NOT base").select("piece", "head").join(above, "head").select("piece", piece(F.col("over"), F.col("at") - 1).alias("up"), ((F.col("at") - 1) % PIECE + 1).cast("int").alias("n"))
         later = pieces.where("start > 0").select("piece", piece(F.col("head"), F.col("start") - 1).alias("up"), F.lit(PIECE).alias("n"))
@@ -246,15 +256,13 @@ class Hierarchy:
             target = state.select(F.col("piece").alias("up"), F.col("up").alias("higher"), F.col("before").alias("more"), F.col("done").alias("there"))
             step = asked(open_.drop("done"), target, "up", "piece", self._most_asked(open_, "up"), "inner").select("piece", F.col("higher").alias("up"), F.concat("more", "before").alias("before"), F.col("there").alias("done"))
             state = self.scratch.replace(state.where("done").unionByName(step), "above")
-        return state.select("piece", "before").join(pieces.select("piece", "members"), "piece")
+        return state.select("piece", "before").join(pieces.select("piece", "members", "root_id", "down"), "piece")
 
     def paths(self, sep: str = " > ") -> DataFrame:
         """(elem_id, root_id, depth, path, pre, descendants): path from the root; nodes on or below cycles have none."""
-        spread = self._pieces(sep).select("before", "members", F.posexplode("members").alias("k", "m"))
+        spread = self._pieces(sep).select("before", "members", "root_id", "down", F.posexplode("members").alias("k", "m"))
         own = F.array_join(F.transform(F.slice("members", F.lit(1), F.col("k") + 1), lambda m: m["name"]), sep)
-        pathed = spread.select(F.col("m.id").alias("id"), F.col("m.name").alias("elem_id"), F.concat("before", own).alias("path"))
-        placed = self._placed().select("id", "root_id", "depth").join(self.intervals.select("id", "pre", "size"), "id")
-        return pathed.join(placed, "id").select("elem_id", "root_id", "depth", "path", "pre", (F.col("size") - 1).alias("descendants"))
+        return spread.select(F.col("m.name").alias("elem_id"), "root_id", (F.col("down") + F.col("m.place")).alias("depth"), F.concat("before", own).alias("path"), F.col("m.pre").alias("pre"), (F.col("m.size") - 1).alias("descendants"))
 
     def descendants(self, ids: DataFrame | None = None) -> DataFrame:
         """(elem_id, descendant_id): every node below each of the ids (column id, text), or below every node.
