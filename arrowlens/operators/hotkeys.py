@@ -24,25 +24,31 @@ from arrowlens.runtime import Scratch, shuffle_partitions
 TOP_KEYS, SKETCH_ITEMS, MAX_SALTS = 500, 8192, 1024
 
 
-def heavy_keys(arrows: DataFrame, sides: dict[str, str], share: float = 0.001) -> list[tuple[str, str, int]]:
-    """(side, key, estimated rows) of keys that hold `share` or more of the rows; at most TOP_KEYS a side."""
+def heavy_keys(arrows: DataFrame, sides: dict[str, str], share: float = 0.001) -> tuple[list[tuple[str, str, int]], int]:
+    """(side, key, estimated rows) of keys that hold `share` or more of the rows, at most TOP_KEYS a side; and the
+    number of rows."""
     cols = [F.expr(f"approx_top_k(coalesce(`{c}`, '\u0000null'), {TOP_KEYS}, {SKETCH_ITEMS})").alias(s) for s, c in sides.items()]
     row = arrows.agg(F.count(F.lit(1)).alias("rows"), *cols).first()
-    return [(s, x["item"], x["count"]) for s in sides for x in (row[s] or []) if x["count"] >= share * row["rows"]]
+    return [(s, x["item"], x["count"]) for s in sides for x in (row[s] or []) if x["count"] >= share * row["rows"]], row["rows"]
 
 
-def _salts(spark: SparkSession, heavy: list[tuple[str, str, int]], per_task: int) -> DataFrame:
-    rows = [(s, None if k == "\u0000null" else k, min(MAX_SALTS, -(-n // per_task))) for s, k, n in heavy]
+def _salts(spark: SparkSession, heavy: list[tuple[str, str, int]], share: int) -> DataFrame:
+    """Salts of each heavy key: one for each fair share of a task that its rows make up."""
+    rows = [(s, None if k == "\u0000null" else k, min(MAX_SALTS, -(-n // share))) for s, k, n in heavy]
     df = spark.createDataFrame(rows, "side string, key string, salts int")
     k1, k2 = wide_hash(F.col("key"))
     return df.select("side", k1.alias("k1"), k2.alias("k2"), "salts")
 
 
-def salted_counts(arrows: DataFrame, scratch: Scratch, measures: tuple[str, ...] = ("arrows", "neighbours", "kinds"), per_task: int = 250_000) -> DataFrame:
-    """(side, k1, k2, and a count for each measure): both sides of every distinct arrow, keys as 128-bit hashes."""
+def salted_counts(arrows: DataFrame, scratch: Scratch, measures: tuple[str, ...] = ("arrows", "neighbours", "kinds"), tasks: int | None = None) -> DataFrame:
+    """(side, k1, k2, and a count for each measure): both sides of every distinct arrow, keys as 128-bit hashes.
+
+    A key gets a salt for each fair share of one of `tasks` (the shuffle partitions) that it holds, whatever the size.
+    """
     spark = arrows.sparkSession
     sides = {"dst": "dst_id", "src": "src_id"}
-    salts = F.broadcast(_salts(spark, heavy_keys(arrows, sides), per_task))
+    heavy, n = heavy_keys(arrows, sides)
+    salts = F.broadcast(_salts(spark, heavy, max(1, n // (tasks or shuffle_partitions(spark)))))
     hashes = {n: wide_hash(c) for n, c in {"i": F.col("id"), "s": F.col("src_id"), "d": F.col("dst_id"), "c": plain_kind(F.col("kind"))}.items()}
     wanted = ["i", "s", "d", *(["c"] if "kinds" in measures else [])]
     narrow = arrows.select(*(h.alias(f"{n}{j}") for n in wanted for j, h in enumerate(hashes[n], 1)))

@@ -31,6 +31,8 @@ _TYPES = {
     "ts": T.TimestampType(),
     "str": T.StringType(),
 }
+#: Cells (rows x columns of one type) that are scattered at once; what one block of entities takes in memory.
+BLOCK_CELLS = 1 << 20
 _TRUE = ("true", "t", "yes", "y", "on", "1")
 _FALSE = ("false", "f", "no", "n", "off", "0")
 
@@ -116,44 +118,63 @@ def latest_cells(rows: DataFrame, defs: list[tuple[str, str, str]], entity: str,
 
 
 def _scatter(names: list[str], types: list[str], entity_name: str):
-    """mapInArrow function over rows that are sorted by entity: Arrow tables of one row per entity."""
+    """mapInArrow function over rows that are sorted by entity: Arrow batches of one row per entity, made in blocks of
+    as many entities as fit BLOCK_CELLS cells of the type with most columns."""
 
-    def emit(table):
-        import decimal
+    import numpy as np
+
+    of_type = {t: [i for i, x in enumerate(types) if x == t] for t in _TYPES}
+    place = np.full(len(types) + 1, -1, dtype="int64")  # the last place serves attr -1
+    for cols in of_type.values():
+        place[cols] = np.arange(len(cols))
+    entities = max(1, BLOCK_CELLS // max([1, *map(len, of_type.values())]))
 
-        import numpy as np
+    def decimals(values, gone):
+        """128-bit decimals with three places from scaled 64-bit integers."""
         import pyarrow as pa
 
-        coded = table.column("entity").combine_chunks().dictionary_encode()
-        row = coded.indices.to_numpy(zero_copy_only=False)
-        attr = table.column("attr").to_numpy()
-        n = len(coded.dictionary)
+        raw = np.empty((len(values), 2), dtype="int64")
+        raw[:, 0], raw[:, 1] = values, values >> 63
+        there = pa.array(~gone).buffers()[1]
+        return pa.Array.from_buffers(pa.decimal128(18, 3), len(values), [there, pa.py_buffer(raw.tobytes())])
+
+    def block(names_of_rows, row, attr, sources):
+        """One row per entity of the block, a column per attribute."""
+        import pyarrow as pa
+
+        n = len(names_of_rows)
         columns: dict[int, pa.Array] = {}
         for kind, dtype in (("int", "int64"), ("bool", "bool"), ("dec", "int64"), ("ts", "int64"), ("str", "object")):
-            cols = [i for i, t in enumerate(types) if t == kind]
+            cols = of_type[kind]
             if not cols:
                 continue
-            place = np.full(len(types) + 1, -1, dtype="int64")
-            place[cols] = np.arange(len(cols))
-            source = table.column(f"v_{kind}")
-            take = (place[attr] >= 0) & source.is_valid().to_numpy(zero_copy_only=False)
+            source = sources[kind]
+            take = source.is_valid().to_numpy(zero_copy_only=False)
             values, there = np.zeros((n, len(cols)), dtype=dtype), np.zeros((n, len(cols)), dtype=bool)
             at = (row[take], place[attr[take]])
             values[at] = source.filter(pa.array(take)).to_numpy(zero_copy_only=False)
             there[at] = True
             for j, i in enumerate(cols):
-                v, gone = values[:, j], ~there[:, j]
+                v, gone = np.ascontiguousarray(values[:, j]), ~there[:, j]
                 if kind == "ts":
                     columns[i] = pa.array(v.astype("datetime64[us]"), mask=gone).cast(pa.timestamp("us", tz="UTC"))
                 elif kind == "dec":
-                    ints = [None if g else decimal.Decimal(int(x)).scaleb(-3) for x, g in zip(v, gone)]
-                    columns[i] = pa.array(ints, type=pa.decimal128(18, 3))
+                    columns[i] = decimals(v, gone)
                 elif kind == "str":
                     columns[i] = pa.array(v, type=pa.string(), mask=gone)
                 else:
                     columns[i] = pa.array(v, mask=gone)
-        arrays = [coded.dictionary, *(columns[i] for i in range(len(names)))]
-        return pa.Table.from_arrays(arrays, names=[entity_name, *names]).to_batches()
+        return pa.RecordBatch.from_arrays([names_of_rows, *(columns[i] for i in range(len(names)))], names=[entity_name, *names])
+
+    def emit(table):
+        table = table.combine_chunks()
+        coded = table.column("entity").chunk(0).dictionary_encode()
+        row = coded.indices.to_numpy(zero_copy_only=False)  # rising, as rows are sorted by entity
+        attr = table.column("attr").to_numpy()
+        for first in range(0, len(coded.dictionary), entities):
+            a, b = np.searchsorted(row, [first, first + entities])
+            sources = {t: table.column(f"v_{t}").chunk(0).slice(a, b - a) for t in of_type}
+            yield block(coded.dictionary.slice(first, entities), row[a:b] - first, attr[a:b], sources)
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa

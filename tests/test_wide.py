@@ -62,3 +62,15 @@ def test_an_entity_goes_on_over_batches(spark):
 
 def test_long_text(spark):
     assert cells(spark, [("a", "note", "x" * 200_000, 1)])[0][2] == "x" * 200_000
+
+
+def test_blocks_of_entities_change_nothing(spark, monkeypatch):
+    from arrowlens.operators import wide
+
+    rows = [(f"e{i % 37:02d}", k, v, None) for i in range(37) for k, v in (("n", str(i)), ("d", f"-{i}.5"), ("s", f"t{i}"), ("b", "yes"), ("unknown", "x"))]
+    df = spark.createDataFrame(rows, "elem_id string, key string, value string, recorded_at timestamp")
+    defs = spark.createDataFrame([("n", "int"), ("d", "dec"), ("s", "str"), ("b", "bool"), ("t", "ts"), ("m", "dec")], "attr_key string, attr_type string")
+    whole = sorted(map(tuple, wide.attributes_to_wide(df, defs).collect()))
+    monkeypatch.setattr(wide, "BLOCK_CELLS", 6)
+    assert sorted(map(tuple, wide.attributes_to_wide(df, defs).collect())) == whole and len(whole) == 37
+    assert whole[3] == ("e03", True, __import__("decimal").Decimal("-3.500"), None, 3, "t3", None)
