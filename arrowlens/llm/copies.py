@@ -3,14 +3,16 @@
 Records get a canonical form (letters and digits of kind and name in one case, module as it is, attrs as a JSON value)
 and a hash of it.
 
-1. Each partition builds two Bloom filters: hashes seen, and hashes seen again. Filters of partitions are merged
-   segment by segment: a bit of "again" is set if it was set in either, or if both have it in "seen"; so every hash
-   that stands in two rows anywhere passes the merged "again" filter.
-2. Rows that miss it are singletons and leave at once, unshuffled.
-3. Only possible repeats are shuffled, as SHA-256 fingerprints with ids, and grouped exactly.
-
-The filter's size follows the number of rows up to `max_filter_bytes`, which bounds what is broadcast. Beyond about one
-row a bit more singletons pass as possible repeats; the result stays exact, only more is shuffled.
+1. Each partition builds two Bloom filters: hashes seen, and hashes seen again. They are cut by ranges of the hash and
+   travel sparse (positions, or bits where those are shorter), about eight bytes a row. Each range is merged on its
+   own: a bit of "again" is set if it was set in either filter, or if both have it in "seen"; so every hash that
+   stands in two rows anywhere passes the merged "again" filter. A range has RANGE_BITS bits whatever the number of
+   rows; with the rows the number of ranges grows, not what a task holds.
+2. What has to reach the rows is the merged "again" filter, which holds repeats only. It is folded to about 16 bits a
+   repeat (positions modulo a smaller power of two) and, if that is at most `max_filter_bytes`, broadcast. Rows that
+   miss it are singletons and leave at once, unshuffled. A larger one stays where it is, and rows meet its positions
+   in a shuffled join, which a few per cent of the singletons pass; rows of the most frequent hashes, which are repeats anyhow, do not take part in that join.
+3. Only possible repeats are grouped exactly, as SHA-256 fingerprints with ids.
 
 Groups that hold very many rows are combined on the map side; to attach members to their representative, fingerprints
 with at least a thousandth of all possible repeats (a thousand at most) are joined by broadcast, the rest by shuffle.
@@ -29,9 +31,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arrowlens.functions.text import alnum_key, canonical_json
 from arrowlens.runtime import Scratch
 
-SEGMENT_BYTES = 1 << 16
+#: Bits of one hash range of the filters, rows that a partition adds at a time, bits of a piece of the folded filter.
+RANGE_BITS, CHUNK_ROWS, SEGMENT_BITS = 1 << 25, 1 << 22, 1 << 19
+#: Greatest filter that is broadcast; it holds some thirty million repeats.
 MAX_FILTER_BYTES = 1 << 26
-HASHES = 2
+HASHES, BITS_PER_ROW = 2, 16
+#: Frequent hashes that keep out of the shuffled join: those with a thousandth of all rows, 500 at most.
+FREQUENT, FREQUENT_SHARE = 500, 0.001
 
 
 def canonical(elems: DataFrame) -> DataFrame:
@@ -46,112 +52,178 @@ def _text() -> Column:
     return F.concat(part("c_kind"), part("c_name"), part("module"), part("c_attrs"))
 
 
-def filter_segments(rows: int, max_bytes: int = MAX_FILTER_BYTES) -> int:
-    """Segments (a power of two) for 16 bits a row, at most max_bytes."""
-    need, segments = max(1, 2 * rows // SEGMENT_BYTES), 1
-    while segments < need and 2 * segments * SEGMENT_BYTES <= max_bytes:
-        segments *= 2
-    return segments
+def filter_ranges(rows: int) -> int:
+    """Hash ranges (a power of two) that give each row BITS_PER_ROW bits."""
+    ranges = 1
+    while ranges * RANGE_BITS < rows * BITS_PER_ROW:
+        ranges *= 2
+    return ranges
 
 
-def _bits(h, bits: int):
-    """Bit positions of an array of hashes, HASHES columns."""
+def _places(h, ranges: int):
+    """(range, positions in it) of 64-bit hashes: the range by the highest bits, HASHES positions by the others."""
     import numpy as np
 
     u = h.astype(np.uint64)
-    step = (u >> np.uint64(33)) | np.uint64(1)
-    return [((u + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(HASHES)]
+    shift = 64 - (ranges.bit_length() - 1)
+    in_range = (u >> np.uint64(shift)).astype(np.int64) if ranges > 1 else np.zeros(len(u), np.int64)
+    step = (u >> np.uint64(25)) | np.uint64(1)
+    return in_range, [((u + np.uint64(i) * step) & np.uint64(RANGE_BITS - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def _has(flat, at):
+def _packed(positions) -> bytes:
+    """Positions of a range as 32-bit numbers or as bits, whichever is shorter; the first byte says which."""
     import numpy as np
 
-    hit = np.ones(len(at[0]), dtype=bool)
-    for p in at:
-        hit &= (flat[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-    return hit
+    at = np.unique(positions)
+    if 4 * len(at) <= RANGE_BITS // 8:
+        return b"p" + at.astype("<u4").tobytes()
+    bits = np.zeros(RANGE_BITS, bool)
+    bits[at] = True
+    return b"b" + np.packbits(bits, bitorder="little").tobytes()
 
 
-def _set(flat, at):
+def _unpacked(data: bytes):
     import numpy as np
 
-    for p in at:
-        np.bitwise_or.at(flat, p >> 3, (1 << (p & 7)).astype(np.uint8))
+    body = np.frombuffer(data, np.uint8, offset=1)
+    return body.view("<u4").astype(np.int64) if data[:1] == b"p" else np.flatnonzero(np.unpackbits(body, bitorder="little"))
 
 
-def _build(segments: int):
-    """mapInArrow: the partition's filters, one row per segment that has a bit."""
+def _build(ranges: int):
+    """mapInArrow: the filters of each CHUNK_ROWS rows of a partition, a row for each range that has a bit."""
 
-    def run(batches: Iterable) -> Iterator:
+    def emit(held):
         import numpy as np
         import pyarrow as pa
 
-        size = segments * SEGMENT_BYTES
-        seen, again = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        some = False
+        once, counts = np.unique(np.concatenate(held).astype(np.uint64), return_counts=True)  # in order of ranges
+        at, positions = _places(once, ranges)
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        rows = []
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            twice = counts[a:b] > 1
+            rows.append((int(at[a]), _packed(np.concatenate([p[a:b] for p in positions])), _packed(np.concatenate([p[a:b][twice] for p in positions]))))
+        r, s, g = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(s, pa.binary()), pa.array(g, pa.binary())], ["range", "seen", "again"])
+
+    def run(batches: Iterable) -> Iterator:
+        held, n = [], 0
         for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False)
-            if not len(h):
-                continue
-            some = True
-            once, counts = np.unique(h, return_counts=True)
-            at = _bits(once, size * 8)
-            repeated = _has(seen, at) | (counts > 1)
-            _set(again, [p[repeated] for p in at])
-            _set(seen, at)
-        if not some:
-            return
-        for s in range(segments):
-            a, b2 = (x[s * SEGMENT_BYTES : (s + 1) * SEGMENT_BYTES] for x in (seen, again))
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b2.tobytes()], pa.binary())], ["segment", "seen", "again"])
+            if len(b):
+                held.append(b.column(0).to_numpy(zero_copy_only=False))
+                n += len(b)
+            if n >= CHUNK_ROWS:
+                yield emit(held)
+                held, n = [], 0
+        if n:
+            yield emit(held)
 
     return run
 
 
 def _merge(pdf):
-    """The filters of several partitions, or of several classes of them, for one segment."""
+    """All filters of one range: the bits that stand for more than one row."""
     import numpy as np
     import pandas as pd
 
-    seen, again = np.zeros(SEGMENT_BYTES, np.uint8), np.zeros(SEGMENT_BYTES, np.uint8)
+    seen, again = np.zeros(RANGE_BITS, bool), np.zeros(RANGE_BITS, bool)
     for s, a in zip(pdf["seen"], pdf["again"]):
-        s = np.frombuffer(s, np.uint8)
-        again |= np.frombuffer(a, np.uint8) | (seen & s)
-        seen |= s
-    return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "seen": [seen.tobytes()], "again": [again.tobytes()]})
+        at = _unpacked(s)
+        again[_unpacked(a)] = True
+        again[at[seen[at]]] = True
+        seen[at] = True
+    at = np.flatnonzero(again)
+    return pd.DataFrame({"range": [pdf["range"].iloc[0]], "again": [_packed(at)], "n": [len(at)]})
+
+
+def _fold(bits: int):
+    """mapInArrow: merged ranges as pieces of a filter of `bits` bits."""
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            for r, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = np.unique((_unpacked(a) + r * RANGE_BITS) & (bits - 1))
+                piece = at // SEGMENT_BITS
+                for s in np.unique(piece):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([(at[piece == s] % SEGMENT_BITS).astype("<u4").tobytes()], pa.binary())], ["piece", "at"])
+
+    return run
+
+
+def _joined(pdf):
+    import numpy as np
+    import pandas as pd
+
+    bits = np.zeros(SEGMENT_BITS, bool)
+    for a in pdf["at"]:
+        bits[np.frombuffer(a, "<u4")] = True
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-def repeat_filter(hashes: DataFrame, segments: int) -> bytearray:
-    """The merged "again" filter over the one column of 64-bit hashes.
 
-    Merging runs in two levels (partitions in 64 classes, then classes), so that one task never holds the filters of
-    all partitions. Only the merged filter, of segments * SEGMENT_BYTES bytes, reaches the driver.
-    """
-    parts = hashes.mapInArrow(_build(segments), "segment int, seen binary, again binary")
-    schema = "segment int, seen binary, again binary"
-    level1 = parts.withColumn("class", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("segment", "class").applyInPandas(_merge, schema)
-    out = bytearray(segments * SEGMENT_BYTES)
-    for r in level1.groupBy("segment").applyInPandas(_merge, schema).select("segment", "again").toLocalIterator():
-        out[r["segment"] * SEGMENT_BYTES : (r["segment"] + 1) * SEGMENT_BYTES] = r["again"]
-    return out
+def _numbers(batches: Iterable) -> Iterator:
+    """mapInArrow: the positions of merged ranges, counted over all ranges."""
+    import pyarrow as pa
+
+    for b in batches:
+        for r, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(a) + r * RANGE_BITS, pa.int64())], ["place"])
 
 
 def mark_repeats(rows: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Adds `maybe`: whether the hash h of a row may stand in another row too (never false if it does)."""
-    n = rows.count()
-    segments = filter_segments(n, max_filter_bytes)
-    shared = rows.sparkSession.sparkContext.broadcast(bytes(repeat_filter(rows.select("h"), segments)))
+    spark = rows.sparkSession
+    ranges = filter_ranges(rows.count())
+    parts = rows.select("h").mapInArrow(_build(ranges), "range int, seen binary, again binary")
+    merged = Scratch(spark, "bloom").write(parts.groupBy("range").applyInPandas(_merge, "range int, again binary, n long"), "again")
+    set_bits = merged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = SEGMENT_BITS
+    while bits < set_bits * BITS_PER_ROW // HASHES:
+        bits *= 2
+    if bits // 8 <= max_filter_bytes:
+        return rows.withColumn("maybe", _in_filter(merged, min(bits, ranges * RANGE_BITS), ranges)(F.col("h")))
+    return _meet(rows, merged, ranges)
+
+
+def _in_filter(merged: DataFrame, bits: int, ranges: int):
+    """A function of h that says whether the broadcast folded filter has it."""
+    flat = bytearray(bits // 8)
+    pieces = merged.select("range", "again").mapInArrow(_fold(bits), "piece int, at binary").groupBy("piece").applyInPandas(_joined, "piece int, bits binary")
+    for r in pieces.toLocalIterator():
+        flat[r["piece"] * SEGMENT_BITS // 8 : (r["piece"] + 1) * SEGMENT_BITS // 8] = r["bits"]
+    shared = merged.sparkSession.sparkContext.broadcast(bytes(flat))
 
     @F.pandas_udf("boolean")
     def maybe(h):
         import numpy as np
         import pandas as pd
 
-        flat = np.frombuffer(shared.value, np.uint8)
-        return pd.Series(_has(flat, _bits(h.to_numpy(), len(flat) * 8)))
-
-    return rows.withColumn("maybe", maybe("h"))
+        have = np.frombuffer(shared.value, np.uint8)
+        r, positions = _places(h.to_numpy(), ranges)
+        hit = np.ones(len(h), bool)
+        for p in positions:
+            at = (p + r * RANGE_BITS) & (bits - 1)
+            hit &= (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(hit)
+
+    return maybe
+
+
+def _meet(rows: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
+    """`maybe` by a join of each row's first position with the filter's positions."""
+    shift = ranges.bit_length() - 1
+    in_range = F.shiftrightunsigned(F.col("h"), 64 - shift) if shift else F.lit(0).cast("long")
+    place = in_range * RANGE_BITS + F.col("h").bitwiseAND(F.lit(RANGE_BITS - 1))
+    n, top = rows.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {FREQUENT}, 8192)")).first()
+    frequent = [x["item"] for x in top or [] if x["count"] >= max(2, FREQUENT_SHARE * n)]
+    often = F.col("h").isin(frequent) if frequent else F.lit(False)
+    apart = -1 - F.pmod(F.xxhash64("id", F.col("h")), F.lit(1 << 20))  # no place; spreads what does not take part
+    places = merged.select("range", "again").mapInArrow(_numbers, "place long").withColumn("hit", F.lit(True))
+    keyed = rows.withColumn("often", often).withColumn("place", F.when(F.col("often"), apart).otherwise(place))
+    return keyed.join(places, "place", "left").withColumn("maybe", F.col("often") | F.coalesce("hit", F.lit(False))).drop("place", "often", "hit")
 
 
 def collapse(elems: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:

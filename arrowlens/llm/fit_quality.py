@@ -9,7 +9,7 @@ from arrowlens.sources.tables import table
 
 if __name__ == "__main__":
     spark = session(master="local[8]", partitions=8)
-    fitted, accuracy = quality.fit(table(spark, sys.argv[1], "documents"), table(spark, sys.argv[1], "common_word"))
+    fitted, figures = quality.fit(table(spark, sys.argv[1], "documents"), table(spark, sys.argv[1], "common_word"))
     with open(quality.RULES, "w") as f:
         json.dump(fitted, f, indent=1)
-    print(json.dumps(fitted), "held-out accuracy", accuracy)
+    print(json.dumps(fitted), "held-out precision and recall", figures)

@@ -6,13 +6,17 @@ Every line is given a form and the form with most characters wins. Only the fitt
 from __future__ import annotations
 
 import re
+import unicodedata
 
 _MARK = re.compile(r"^\s*(?:[-*+•–—◦▪‣·]\s+|\[[ xX]\]\s|#?\d{1,3}[.):]?\s+(?=\S)|#\d+\s|\(?[a-zA-Z\d]{1,2}[.)]\s|[ivxIVX]{1,4}[.)]\s)")
 _BORDER = re.compile(r"^\s*[+|:=\-\s]{3,}\s*$")
 _HTML = re.compile(r"</?(?:table|tr|td|th|tbody|thead)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
-_CJK = re.compile(r"[぀-ヿ一-鿿]")
+_CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщ]{5,}")
+_VOWEL = re.compile(r"[^bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщ]")
+_LATIN = re.compile(r"[a-zа-я]")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[?\ufffd€¿¤]+(?=[^\W\d_])|\ufffd|[ÂÃâ][?\ufffd€¿ÂÃâ]")
 _END = re.compile(r"[.!?:;…。！？\"”)]\s*$")
 
 
@@ -40,33 +44,34 @@ def _inline(s: str) -> bool:
     return False
 
 
-def _junk(s: str, common: frozenset) -> bool:
+def _junk(s: str) -> bool:
+    """Nothing readable, by signs that hold in any language: what words look like, not which words they are."""
     body = re.sub(r"\s", "", s)
     if not body:
         return False
-    letters = sum(c.isalpha() for c in body)
-    if "�" in s and s.count("�") > 0.02 * len(s):
+    letters = sum(unicodedata.category(c)[0] in "LM" for c in body)
+    if letters < 0.35 * len(body) or len(_BROKEN.findall(s)) > 0.02 * len(body):
         return True
-    if letters < 0.35 * len(body) or len(body) > 40 and len(s.split()) < len(body) / 30 and not _CJK.search(s):
-        return True
-    words = [w.lower() for w in _WORD.findall(s)]
+    if len(_UNSPACED.findall(body)) > 0.25 * len(body):
+        return False
     tokens = s.split()
+    words = [w.lower() for w in _WORD.findall(s)]
+    if len(body) > 40 and len(tokens) < len(body) / 30:
+        return True
     if len(tokens) >= 10 and all(re.fullmatch(r"[0-9a-fA-F]{2}", t) for t in tokens):
         return True
     if len(words) >= 8 and len(set(words)) <= 3:
         return True
-    if _CJK.search(s):
+    if len(words) < 5:
         return False
-    if len(words) >= 12 and sum(len(w) == 1 for w in words) > 0.22 * len(words) and " " in s:
-        return True
-    if len(words) >= 15 and sum(len(w) == 1 for w in words) > 0.1 * len(words) and sum(w in common for w in words) < 0.2 * len(words):
-        return True
-    if len(words) >= 5 and sum(bool(_CLUSTER.search(w)) for w in words) >= 0.5 * len(words):
-        return True
-    return len(words) >= 12 and sum(w in common for w in words) < 0.06 * len(words)
+    share = lambda n: n / len(words)
+    clusters, hollow = share(sum(bool(_CLUSTER.search(w)) for w in words)), share(sum(len(w) >= 3 and not _VOWEL.search(w) and bool(_LATIN.match(w)) for w in words))
+    single, gaps = share(sum(len(w) == 1 for w in words)), share(len(re.findall(r"\S {2,}(?=\S)", s)))
+    signs = (clusters >= 0.1) + (hollow >= 0.06) + (single >= 0.13) + (gaps >= 0.04)
+    return signs >= 2
 
 
-def form_of(text: str, common: frozenset) -> str:
+def form_of(text: str) -> str:
     """prose, list, table or junk; text is not blank."""
     from collections import Counter
 
@@ -79,7 +84,7 @@ def form_of(text: str, common: frozenset) -> str:
     def flush() -> None:
         if paragraph:
             block = " ".join(paragraph)
-            weight["junk" if _junk(block, common) else "prose"] += len(block)
+            weight["junk" if _junk(block) else "prose"] += len(block)
             paragraph.clear()
 
     for x, s in zip(lines, short):
@@ -89,7 +94,7 @@ def form_of(text: str, common: frozenset) -> str:
         elif _inline(x.strip()) and sum(c.isalpha() for c in x) > 0.5 * len(x):
             flush()
             weight["list"] += len(x)
-        elif s and sum(short) >= 3 and not (_junk(x, common) and not _MARK.match(x)):
+        elif s and sum(short) >= 3 and not (_junk(x) and not _MARK.match(x)):
             flush()
             weight["list"] += len(x)
         else:

@@ -80,6 +80,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self._strings: dict[int, bytes] | None = None
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -97,7 +98,9 @@ class Encoder:
 
     @property
     def vocabulary(self) -> dict[int, bytes]:
-        return {i: b for b, i in self.ranks.items()}
+        if self._strings is None:
+            self._strings = {i: b for b, i in self.ranks.items()}
+        return self._strings
 
 
 @lru_cache(maxsize=4)

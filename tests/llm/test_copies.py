@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from arrowlens.llm import copies
 
 E = "id string, kind string, name string, module string, span string, attrs string, h string, maybe string"
@@ -47,15 +49,40 @@ def test_random_groups_equal_brute_force_at_any_filter_size(spark):
     assert len(c) == len(groups) and sum(r.copies for r in c) == len(rows)
 
 
-def test_the_filter_keeps_every_repeat_and_few_others(spark):
+@pytest.mark.parametrize("most", [copies.MAX_FILTER_BYTES, 1])
+@pytest.mark.parametrize("range_bits", [copies.RANGE_BITS, 1 << 14])
+def test_little_more_than_the_repeats_is_shuffled(spark, monkeypatch, most, range_bits):
+    """At any number of hash ranges, with the filter broadcast or far too large for that."""
     from pyspark.sql import functions as F
 
-    base = spark.range(20_000).select(F.xxhash64("id").alias("h"))
-    twice = base.unionByName(base.limit(500)).repartition(7)
-    marked = copies.mark_repeats(twice)
-    n = marked.groupBy("h").count()
-    assert marked.join(n.where("count > 1"), "h").where("NOT maybe").isEmpty()
-    assert marked.join(n.where("count = 1"), "h").where("maybe").count() < 400
+    base = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("id"))
+    hot = spark.range(9_000).select(F.xxhash64(F.lit("hot")).alias("h"), F.lit("x").alias("id"))
+    rows = base.unionByName(base.limit(500)).unionByName(hot).repartition(7).cache()
+    n = rows.groupBy("h").count()
+    monkeypatch.setattr(copies, "RANGE_BITS", range_bits)
+    if range_bits == 1 << 14:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(copies)  # workers see the small ranges too
+    try:
+        marked = copies.mark_repeats(rows, most)
+        assert marked.count() == rows.count()
+        assert marked.join(n.where("count > 1"), "h").where("NOT maybe").isEmpty()
+        assert marked.join(n.where("count = 1"), "h").where("maybe").count() < (1200 if most > 1 else 2000)
+    finally:
+        if range_bits == 1 << 14:
+            cloudpickle.unregister_pickle_by_value(copies)
+    assert copies.filter_ranges(20 * 10**9) * range_bits >= 16 * 20 * 10**9
+
+
+def test_packed_positions_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 10, copies.RANGE_BITS // 8):
+        at = np.unique(rng.integers(0, copies.RANGE_BITS, n))
+        data = copies._packed(at)
+        assert (copies._unpacked(data) == at).all() and len(data) <= 1 + copies.RANGE_BITS // 8
 
 
 def test_empty_and_long(spark):

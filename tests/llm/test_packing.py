@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from arrowlens.llm import packing
 
 
@@ -37,6 +39,58 @@ def test_every_token_once_no_bin_over_and_little_unused(spark):
     assert all(r.unused_share < 0.01 for r in report)
 
 
+def used(rows, capacity, tile):
+    """Tokens, places and tiles of each container."""
+    out = {}
+    for r in rows:
+        t, p, c = out.get(r.bin_id, (0, 0, 0))
+        out[r.bin_id] = (t + r.tokens, p + 1, c + (-(-r.tokens // tile)) ** 2)
+    return list(out.values())
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_each_capacity_binds(spark, rule):
+    rng = random.Random(8)
+    sizes = [rng.choice((0, 1, 1, 1, 2, 60, 64)) for _ in range(600)]
+    bins = {}
+    for name, limit in (("none", {"places": 10**6, "cost": 10.0**9}), ("places", {"places": 3, "cost": 10.0**9}), ("cost", {"places": 10**6, "cost": 66.0}), ("both", {"places": 3, "cost": 66.0})):
+        rows, *_ = run(spark, sizes, [("a", 64)], rule=rule, tile=8, **limit)
+        list(sound(rows, sizes, [("a", 64)], limit["places"]))
+        got = used(rows, 64, 8)
+        assert all(t <= 64 and p <= limit["places"] and c <= limit["cost"] for t, p, c in got)
+        bins[name] = len(got)
+        assert any(t == 64 for t, *_ in got)
+    assert bins["none"] < bins["places"] <= bins["both"] and bins["none"] < bins["cost"] <= bins["both"]
+
+
+def test_defaults_bind_and_let_each_item_in_alone():
+    assert packing.limits(512) == (16, 16 * 17.0, 32) and packing.limits(8192)[0] == 256
+    for capacity in (1, 7, 100, 2048):
+        places, cost, side = packing.limits(capacity)
+        assert (-(-capacity // side)) ** 2 <= cost
+    assert max(Counter(packing.best_fit([1] * 50, 512, *packing.limits(512)[:2], tile=32)).values()) == 16
+
+
+def test_no_task_holds_much_more_than_a_shard(spark, monkeypatch):
+    """A third of all documents of one length that leaves half a container empty, and a third empty."""
+    from pyspark.sql import functions as F
+
+    held, write = [], packing.Scratch.write
+
+    def spied(self, df, name, by=None):
+        out = write(self, df, name, by)
+        if name.startswith("level"):
+            held.extend(r["count"] for r in out.groupBy(F.regexp_extract("bin", r"^(.*)-\d+$", 1)).count().collect())
+        return out
+
+    monkeypatch.setattr(packing.Scratch, "write", spied)
+    rng = random.Random(2)
+    sizes = [260] * 4000 + [0] * 4000 + [rng.randrange(1, 200) for _ in range(4000)]
+    rows, *_ = run(spark, sizes, [("a", 512), ("b", 4096)], shard=500)
+    list(sound(rows, sizes, [("a", 512), ("b", 4096)]))
+    assert sum(held) >= 24_000 and max(held) < 500 * 1.3
+
+
 def test_places_bind(spark):
     sizes = [1] * 100
     rows, *_ = run(spark, sizes, [("a", 64)], places=10)
