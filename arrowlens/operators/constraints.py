@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arrowlens.operators.graph import ELEMENT_KINDS, Graph
 from arrowlens.operators.traverse import path_relation, reach
 
+#: Constraints are definitions; more than this is an error.
+MAX_RULES = 10_000
 #: Ranks of confidence.
 RANK = {"tentative": 0, "unresolved": 1, "resolved": 2}
 
@@ -158,6 +160,21 @@ def equations_about(equations: DataFrame, element: str, wildcard: bool = False)
     return equations.where((F.col("lhs.src") == e) | (F.col("lhs.tgt") == e) | (F.col("rhs.src") == e) | (F.col("rhs.tgt") == e))
 
 
+def about_element(rules: DataFrame, elements: DataFrame) -> DataFrame:
+    """(id, constraint_id): constraints (id, config as JSON text) that concern elements (id, kind, module): those with
+    an empty config, and those whose config names the kind or the module. An empty or null module is named by all.
+
+    Constraints are definitions: at most MAX_RULES of them become one literal; more are an error.
+    """
+    few = rules.select(F.col("id").alias("constraint_id"), F.coalesce("config", F.lit("{}")).alias("config")).limit(MAX_RULES + 1).collect()
+    if len(few) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} constraints")
+    every = F.from_json(F.lit(json.dumps([r.asDict() for r in few])), "array<struct<constraint_id:string,config:string>>")
+    bare = F.regexp_replace("config", r"\s", "").isin("{}", "")
+    hit = bare | F.col("config").contains(F.col("kind")) | (F.coalesce("module", F.lit("")) == "") | F.col("config").contains(F.col("module"))
+    return elements.select("id", "kind", "module", F.inline(every)).where(hit).select("id", "constraint_id")
+
+
 def propose_schema(g: Graph, proposal: dict, dry_run: bool = True) -> tuple[list[str], Graph]:
     """Faults of a schema fragment {objects, arrows, equations} and the graph with it added (unchanged if there are
     faults or on a dry run). Objects need noun phrases, arrows must be total with known ends; ids are content hashes."""

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from arrowlens.operators.constraints import first_provenance
+from arrowlens.operators.constraints import about_element, first_provenance
 from arrowlens.operators.graph import Graph
 from arrowlens.operators.traverse import related
+from arrowlens.sources.snippets import element_spans, signature, snippet
 
 CALLS = ("callerOf", "calls")
 
@@ -90,25 +91,51 @@ def domain_context(g: Graph, ids: DataFrame) -> DataFrame:
     return own.unionByName(near).join(concept, "code").select("from_id", "via", "concept").distinct()
 
 
-def inspect(g: Graph, ids: DataFrame) -> DataFrame:
-    """(id, kind, name, module, outgoing, incoming, provenance): one row per element, arrows as sorted lists with the
-    derived ones among the outgoing."""
-    e = ids.select("id").distinct().join(g.elem, "id")
+def inspect(g: Graph, ids: DataFrame, equations: DataFrame | None = None, rules: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(id, kind, name, module, outgoing, incoming, provenance) and, where their tables are given, equations,
+    constraints and snippet: one row per element, arrows as sorted lists with the derived ones among the outgoing."""
+    keep = ids.select("id").distinct()
+    e = keep.join(g.elem, "id")
     arrows = g.arr.select("kind", "src_id", "dst_id")
-    out = arrows.unionByName(g.derived().select("kind", "src_id", "dst_id")).groupBy(F.col("src_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("dst_id").alias("other")))).alias("outgoing"))
-    inn = arrows.groupBy(F.col("dst_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("src_id").alias("other")))).alias("incoming"))
+    near = lambda df, end: df.join(keep.withColumnRenamed("id", end), end, "left_semi")
+    out = near(arrows.unionByName(g.derived().select("kind", "src_id", "dst_id")), "src_id").groupBy(F.col("src_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("dst_id").alias("other")))).alias("outgoing"))
+    inn = near(arrows, "dst_id").groupBy(F.col("dst_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("src_id").alias("other")))).alias("incoming"))
     p = first_provenance(g).select(F.col("elem_id").alias("id"), F.struct("source", "commit_sha", "confidence").alias("provenance"))
+    rows = e.join(out, "id", "left").join(inn, "id", "left").join(p, "id", "left").select("id", "kind", "name", "module", "span", "outgoing", "incoming", "provenance")
+    if equations is not None:
+        ends = equations.select(F.col("id").alias("equation"), F.explode(F.array_distinct(F.array("lhs.src", "lhs.tgt", "rhs.src", "rhs.tgt"))).alias("id"))
+        rows = rows.join(ends.groupBy("id").agg(F.array_sort(F.collect_set("equation")).alias("equations")), "id", "left")
+    if rules is not None:
+        rows = rows.join(about_element(rules, e).groupBy("id").agg(F.array_sort(F.collect_set("constraint_id")).alias("constraints")), "id", "left")
+    if files is not None:
+        rows = rows.join(snippet(files, element_spans(e)).withColumnRenamed("elem_id", "id"), "id", "left")
+    return rows.drop("span")
+
+
+#: What a finished task must show, by the kind of task.
+CRITERIA = {
+    "write_function_body": ("compiles", "calls all that it must call", "returns what the signature says", "leaves signature and exports as they are", "is written like its analogues"),
+    "write_test": ("compiles", "imports the target", "has a case for each function that must be called", "is written like its analogues", "lies in a test file"),
+    "write_migration": ("compiles", "may run twice", "uses the database client of the project", "goes up and down where that is asked for"),
+    "rewrite_body": ("compiles", "keeps signature and exports", "calls all that it must call", "brings no new dependency", "is better by the criteria given"),
+    "write_documentation": ("is a valid comment", "names every parameter", "names the result", "has an example where analogues have one", "names the errors thrown"),
+}
+
+
+def brief(g: Graph, ids: DataFrame, top: int = 3, files: DataFrame | None = None, task: str | None = None, snippet_lines: int = 50) -> DataFrame:
+    """(id, must_call, used_by, must_implement, analogues, missing_imports, concepts, second_level, confidence) and,
+    where files or a task are given, signature, body and criteria: one nested row per element.
+
+    confidence is `resolved` if the first provenance row says so, `mixed` if it says something else, `unresolved`
+    without any. The body has `snippet_lines` lines of the element's span at most.
+    """
     keep = ids.select("id").distinct()
-    return e.join(out.join(keep, "id", "left_semi"), "id", "left").join(inn.join(keep, "id", "left_semi"), "id", "left").join(p, "id", "left").select("id", "kind", "name", "module", "outgoing", "incoming", "provenance")
-
-
-def brief(g: Graph, ids: DataFrame, top: int = 3) -> DataFrame:
-    """(id, must_call, used_by, must_implement, analogues, missing_imports, concepts): one nested row per element."""
-    out = ids.select("id").distinct()
+    out = keep
 
     def listed(df: DataFrame, key: str, item, name: str) -> DataFrame:
         return df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(item)).alias(name))
 
+    held = first_provenance(g).select(F.col("elem_id").alias("id"), F.when(F.col("confidence") == "resolved", "resolved").otherwise("mixed").alias("confidence"))
     for part in (
         listed(must_call(g, ids), "from_id", F.col("id"), "must_call"),
         listed(used_by(g, ids), "from_id", F.col("id"), "used_by"),
@@ -116,6 +143,24 @@ def brief(g: Graph, ids: DataFrame, top: int = 3) -> DataFrame:
         listed(analogues(g, ids, top), "target", F.struct("rank", F.col("id").alias("other"), "similarity"), "analogues"),
         listed(missing_imports(g, ids), "from_id", F.col("id"), "missing_imports"),
         listed(domain_context(g, ids), "from_id", F.struct("via", "concept"), "concepts"),
+        listed(second_level(g, ids), "from_id", F.struct("callee", "second"), "second_level"),
+        held,
     ):
         out = out.join(part, "id", "left")
+    out = out.withColumn("confidence", F.coalesce("confidence", F.lit("unresolved")))
+    if files is not None:
+        spans = element_spans(keep.join(g.elem, "id"))
+        text = snippet(files, spans.withColumn("end_line", F.least("end_line", F.col("start_line") + snippet_lines - 1)))
+        out = out.join(text.select(F.col("elem_id").alias("id"), signature(F.col("snippet")).alias("signature"), F.col("snippet").alias("body")), "id", "left")
+    if task is not None:
+        out = out.withColumn("criteria", F.array(*(F.lit(c) for c in CRITERIA[task])))
     return out
+
+
+def brief_arrows(briefs: DataFrame, set_id: str) -> DataFrame:
+    """Arrows for a working set (set_id, kind, src_id, dst_id, note, source): what a brief says should be called,
+    implemented and looked at."""
+    sides = (("shouldCall", F.col("must_call")), ("shouldImplement", F.col("must_implement")), ("analogueOf", F.transform("analogues", lambda a: a["other"])))
+    rows = F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda d, k=k: F.struct(F.lit(k).alias("kind"), d.alias("dst_id"))) for k, c in sides)))
+    none = F.lit(None).cast("string")
+    return briefs.select(F.lit(set_id).alias("set_id"), F.col("id").alias("src_id"), F.inline(rows)).select("set_id", "kind", "src_id", "dst_id", none.alias("note"), F.lit("brief").alias("source"))

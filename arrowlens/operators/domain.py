@@ -207,14 +207,21 @@ def merge_duplicates(g: Graph, kept: DataFrame) -> Graph:
 
 
 def refine(candidates: DataFrame, responses: DataFrame) -> DataFrame:
-    """Session candidates (id, name, status, arrows) after responses (id, status, name_override): new status and name,
-    and without arrows to candidates that are rejected. arrows: array<struct<name, dst, status>>."""
-    r = responses.select("id", F.col("status").alias("new_status"), "name_override")
-    out = candidates.join(r, "id", "left").select("id", F.coalesce("name_override", "name").alias("name"), F.coalesce("new_status", "status").alias("status"), "arrows")
+    """Session candidates (id, code_id, name, status, arrows) after responses (id, status, name_override, arrows): new
+    status and name; arrows take status and total from the response's arrow of their name; arrows to candidates that
+    are rejected go. arrows: array<struct<name, dst, status, total>>."""
+    r = responses.select("id", F.col("status").alias("new_status"), "name_override", F.col("arrows").alias("changes"))
+    out = candidates.join(r, "id", "left").select("id", "code_id", F.coalesce("name_override", "name").alias("name"), F.coalesce("new_status", "status").alias("status"), "arrows", "changes")
+
+    def changed(a: Column) -> Column:
+        c = F.get(F.filter("changes", lambda c: c["name"] == a["name"]), F.lit(0))
+        return F.struct(a["name"].alias("name"), a["dst"].alias("dst"), F.coalesce(c["status"], a["status"]).alias("status"), F.coalesce(c["total"], a["total"]).alias("total"))
+
+    out = out.withColumn("arrows", F.transform("arrows", changed)).drop("changes")
     rejected = out.where("status = 'rejected'").select(F.col("id").alias("dst"))
     kept = out.select("id", F.posexplode("arrows").alias("pos", "a")).withColumn("dst", F.col("a.dst")).join(rejected, "dst", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "a"))).alias("x"))
     none = F.filter("arrows", lambda _: F.lit(False))
-    return out.join(kept, "id", "left").select("id", "name", "status", F.coalesce(F.transform("x", lambda e: e["a"]), none).alias("arrows"))
+    return out.join(kept, "id", "left").select("id", "code_id", "name", "status", F.coalesce(F.transform("x", lambda e: e["a"]), none).alias("arrows"))
 
 
 def commit(g: Graph, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,5 +235,5 @@ def commit(g: Graph, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = ok.select(F.col("id").alias("dst"), F.col("domain_id").alias("to")).unionByName(g.elem.where("kind = 'domain'").select(F.col("id").alias("dst"), F.col("id").alias("to")))
     a = ok.select(F.col("domain_id").alias("src_id"), F.explode("arrows").alias("a")).where("a.status = 'accepted'").withColumn("dst", F.col("a.dst")).join(ends, "dst")
     label = F.regexp_replace("a.name", " ", "-")
-    arrows = a.select(arrow_id(F.col("src_id"), label, F.col("to")).alias("id"), F.lit("other").alias("kind"), "src_id", F.col("to").alias("dst_id"), F.to_json(F.struct(F.col("a.name").alias("name"))).alias("attrs"))
+    arrows = a.select(arrow_id(F.col("src_id"), label, F.col("to")).alias("id"), F.lit("other").alias("kind"), "src_id", F.col("to").alias("dst_id"), F.to_json(F.struct(F.col("a.name").alias("name"), F.col("a.total").alias("total"))).alias("attrs"))
     return elem, one_row(bridge.unionByName(arrows))

@@ -36,7 +36,11 @@ def enumerate_paths(kinds: Sequence[str], depth: int, most: int = 10_000) -> lis
     return out
 
 
-def kinds_in_use(g: Graph, universe: Sequence[str] = UNIVERSE) -> list[str]:
+def kinds_in_use(g: Graph, universe: Sequence[str] = UNIVERSE, touching: Sequence[str] | None = None) -> list[str]:
+    """Arrow kinds of the universe that occur, in its order; with `touching` only those at elements of these kinds."""
+    if touching is not None:
+        near = {r["kind"] for r in g.kinds_touching(list(touching)).collect()}
+        return [k for k in universe if k in near]
     used = {r["kind"] for r in g.arr.where(F.col("kind").isin(list(universe))).select("kind").distinct().collect()}
     return [k for k in universe if k in used]
 
@@ -126,6 +130,27 @@ def counterexamples(evaluated: DataFrame, most: int = 5) -> DataFrame:
     return bad.select("lhs", "rhs", "seed", F.array_except("lhs_ends", "rhs_ends").alias("lhs_only"), F.array_except("rhs_ends", "lhs_ends").alias("rhs_only"))
 
 
+def evaluate_one(g: Graph, seeds: DataFrame, lhs: Sequence[str], rhs: Sequence[str]) -> DataFrame:
+    """The result of `coverage` for one pair of paths from the given seeds (column seed)."""
+    kinds = sorted({*lhs, *rhs})
+    reached = path_reach(g, seeds, kinds, max(len(lhs), len(rhs))).where(F.array_join("path", ">").isin(">".join(lhs), ">".join(rhs)))
+    pair = g.spark.createDataFrame([(list(lhs), list(rhs))], "lhs array<string>, rhs array<string>")
+    return coverage(evaluate(pair, reach_sets(reached)))
+
+
+def dominant_kinds(evaluated: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(lhs, rhs, kind, n): the kind that most seeds of each pair have; of several the smallest."""
+    n = evaluated.join(seeds.select("seed", "seed_kind"), "seed").groupBy("lhs", "rhs", "seed_kind").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lhs", "rhs").orderBy(F.desc("n"), "seed_kind")
+    return n.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("lhs", "rhs", F.col("seed_kind").alias("kind"), "n")
+
+
+def rendered(mined: DataFrame) -> DataFrame:
+    """(line): `a → b = c (12/15, 80.0%)` for each mined equation."""
+    arrow = lambda c: F.array_join(c, " → ")
+    return mined.select(F.concat(arrow("lhs"), F.lit(" = "), arrow("rhs"), F.format_string(" (%d/%d, %.1f%%)", "support", "total", F.col("coverage") * 100)).alias("line"))
+
+
 def subsumed(lhs: Sequence[str], rhs: Sequence[str], kept: Sequence[tuple]) -> bool:
     """Whether a kept equation extended by a common suffix or prefix gives this one."""
     lhs, rhs = tuple(lhs), tuple(rhs)
@@ -192,7 +217,7 @@ def mine_equations(g: Graph, kinds: Sequence[str] | None = None, seed_kinds: Seq
 def prune(mined: DataFrame, most: int = 50) -> list[dict]:
     """The best `most` by coverage, total and path text, without those that a better one of equal coverage implies.
 
-    Reads twice `most` rows at a time to the driver until enough are kept or none are left.
+    Rows come to the driver one partition of the sorted result at a time, until enough are kept or none are left.
     """
     order = [F.desc("coverage"), F.desc("total"), F.array_join("lhs", ">"), F.array_join("rhs", ">")]
     kept: list[dict] = []

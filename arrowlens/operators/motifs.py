@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from arrowlens.operators.graph import Graph
+from arrowlens.operators.mining import mine_equations, prune
 from arrowlens.operators.traverse import ego
 
 
@@ -58,3 +59,30 @@ def instances(g: Graph, seeds: DataFrame, depth: int = 2, kinds: Sequence[str] |
     kept = group_shapes(found, min_support).select("shape_hash")
     nodes, _ = ego(g, seeds, depth, kinds)
     return found.join(kept, "shape_hash", "left_semi").select("seed", "shape_hash").join(roles(g, nodes), "seed").select("shape_hash", "seed", "role", F.col("id").alias("elem_id"))
+
+
+def candidates(found: DataFrame, placed: DataFrame, min_support: int = 3) -> DataFrame:
+    """(shape_hash, name, description, support, seed, mapping, question): an instance each, with its roles as a map."""
+    groups = group_shapes(found, min_support)
+    text = F.format_string("%d objects and %d arrows, found %d times", F.size("shape.objects"), F.size("shape.arrows"), F.col("support"))
+    named = groups.select("shape_hash", "name", text.alias("description"), "support", F.concat(F.lit("Is "), "name", F.lit(" a pattern worth a name?")).alias("question"))
+    maps = placed.groupBy("shape_hash", "seed").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "elem_id")))).alias("mapping"))
+    return maps.join(named, "shape_hash").select("shape_hash", "name", "description", "support", "seed", "mapping", "question")
+
+
+def internal_equations(g: Graph, placed: DataFrame, depth: int = 2, min_coverage: float = 0.8, most: int = 50) -> DataFrame:
+    """(shape_hash, lhs, rhs, coverage): equations mined on the whole graph from the element kinds of each shape's first
+    instance, with as many seeds of a kind as its instances have different elements.
+
+    placed is the result of `instances`; shapes are few against their instances and are gone through one by one.
+    """
+    first = placed.groupBy("shape_hash").agg(F.min("seed").alias("seed"), F.countDistinct("elem_id").alias("n"))
+    kinds = placed.join(first, ["shape_hash", "seed"]).groupBy("shape_hash", "n").agg(F.array_sort(F.collect_set(F.regexp_replace("role", r"_\d+$", ""))).alias("kinds"))
+    mined: dict[tuple, list] = {}
+    rows = []
+    for r in kinds.orderBy("shape_hash").toLocalIterator():
+        key = (tuple(r["kinds"]), r["n"])
+        if key not in mined:
+            mined[key] = prune(mine_equations(g, None, r["kinds"], depth, min_coverage, r["n"]), most)
+        rows += [(r["shape_hash"], k["lhs"], k["rhs"], k["coverage"]) for k in mined[key]]
+    return g.spark.createDataFrame(rows, "shape_hash string, lhs array<string>, rhs array<string>, coverage double")

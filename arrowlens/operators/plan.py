@@ -141,27 +141,37 @@ def relevant(config_table: DataFrame, targets: Sequence[str]) -> DataFrame:
 EDITS = "edit_id string, file string, old_text string, new_text string, start_line int, start_col int, end_line int, end_col int"
 
 
-def edit_conflicts(edits: DataFrame) -> DataFrame:
-    """(file, e1, e2): edits of one file whose half-open ranges overlap, e1 before e2 by id."""
+def edit_conflicts(edits: DataFrame, block: int = 64) -> DataFrame:
+    """(file, e1, e2): edits of one file whose half-open ranges overlap, e1 before e2 by id.
+
+    Only edits that touch the same block of lines are compared, in the block where the later of them begins.
+    """
     pos = edits.select("file", "edit_id", F.struct("start_line", "start_col").alias("s"), F.struct("end_line", "end_col").alias("e"))
-    b = pos.select(F.col("file").alias("f2"), F.col("edit_id").alias("e2"), F.col("s").alias("s2"), F.col("e").alias("x2"))
-    return pos.join(b, (F.col("file") == F.col("f2")) & (F.col("edit_id") < F.col("e2")) & (F.col("s") < F.col("x2")) & (F.col("s2") < F.col("e"))).select("file", F.col("edit_id").alias("e1"), "e2")
+    pos = pos.withColumn("block", F.explode(F.sequence(F.floor(F.col("s.start_line") / block), F.floor(F.greatest("s.start_line", "e.end_line") / block))))
+    b = pos.select("file", "block", F.col("edit_id").alias("e2"), F.col("s").alias("s2"), F.col("e").alias("x2"))
+    later = F.floor(F.greatest("s.start_line", "s2.start_line") / block)
+    hit = (F.col("edit_id") < F.col("e2")) & (F.col("s") < F.col("x2")) & (F.col("s2") < F.col("e")) & (later == F.col("block"))
+    return pos.join(b, ["file", "block"]).where(hit).select("file", F.col("edit_id").alias("e1"), "e2")
+
 
+def line_starts(text: str) -> list[int]:
+    return [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
 
-def offset_at(text: str, line: int, col: int) -> int:
+
+def offset_at(text: str, line: int, col: int, starts: list[int] | None = None) -> int:
     """Character offset of a 1-based line and column; beyond the end of a line or text, its end."""
-    lines = text.split("\n")
-    if line > len(lines):
+    starts = starts or line_starts(text)
+    if line > len(starts):
         return len(text)
-    start = sum(len(x) + 1 for x in lines[: line - 1])
-    return start + min(max(col, 1) - 1, len(lines[line - 1]))
+    end = starts[line] - 1 if line < len(starts) else len(text)
+    return min(starts[line - 1] + max(col, 1) - 1, end)
 
 
 def edit_text(text: str, edits: Sequence[dict]) -> tuple[str, str | None]:
     """(new text, fault): all edits of one file from its end to its start, or none of them."""
-    out = text
+    out, starts = text, line_starts(text)
     for e in sorted(edits, key=lambda e: (e["start_line"], e["start_col"], e["edit_id"]), reverse=True):
-        a, b = offset_at(text, e["start_line"], e["start_col"]), offset_at(text, e["end_line"], e["end_col"])
+        a, b = offset_at(text, e["start_line"], e["start_col"], starts), offset_at(text, e["end_line"], e["end_col"], starts)
         if e["old_text"] is not None and out[a:b] != e["old_text"]:
             return text, f"{e['edit_id']}: the text there is another"
         out = out[:a] + e["new_text"] + out[b:]
@@ -193,12 +203,3 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["file", "text", "edited", "fault"])
 
     return rows.select("file", "text", "edits", "clash").mapInPandas(run, "file string, text string, edited boolean, fault string")
-
-
-def rename_edits(g: Graph, target: str, new_name: str) -> DataFrame:
-    """Edits of a rename at the declaration and at the imports of the same name: element spans (file:l:c-l:c)."""
-    old = g.element(target).select(F.col("name").alias("old")).limit(1)
-    places = g.elem.where((F.col("id") == target) | (F.col("kind") == "import")).join(F.broadcast(old), F.col("name") == F.col("old"))
-    part = lambda i: F.regexp_extract("span", r"^(?:(.*):)?(\d+):(\d+)-(\d+):(\d+)$", i)
-    rows = places.where("span IS NOT NULL").select(F.col("id").alias("edit_id"), F.coalesce("module", part(1)).alias("file"), F.col("old").alias("old_text"), F.lit(new_name).alias("new_text"), part(2).cast("int").alias("start_line"), part(3).cast("int").alias("start_col"))
-    return rows.select("*", F.col("start_line").alias("end_line"), (F.col("start_col") + F.length("old_text")).alias("end_col"))

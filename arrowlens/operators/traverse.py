@@ -101,3 +101,31 @@ def enclosing(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """(elem_id): elements whose span of lines in the same file encloses a hit; an equi join on the file with a range
     condition. hits: (id, line); spans: (elem_id, file, start_line, end_line)."""
     return hits.join(spans, (F.col("file") == F.col("id")) & F.col("line").between(F.col("start_line"), F.col("end_line"))).select("elem_id").distinct()
+
+
+def query(
+    g: Graph, start: dict | None = None, kind: str | None = None, name: str | None = None, module: str | None = None,
+    arrows: Sequence[str] = (), direction: str = "out", confidence: str | None = None, limit: int | None = 50, derived: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """One front door: (elements, arrows), arrows None without a traversal.
+
+    start is {"id": ...} or a filter {"kind": ..., "name": ..., "module": ...}; without a kind in it the top-level
+    filter counts. With arrow kinds, the elements found are the seeds of a traversal along them, whose elements and
+    arrows come once each; without, an id gives that element, and a filter its elements, with confidence only those
+    that have it.
+    """
+    start = start or {}
+    if "id" in start:
+        found = g.element(start["id"])
+    else:
+        f = start if "kind" in start else {"kind": kind, "name": name, "module": module}
+        wanted = (f.get("kind"), f.get("name"), f.get("module"))
+        found = g.elements(*wanted, limit=limit) if arrows or not confidence else g.elements(*wanted)
+        if confidence and not arrows:
+            found = g.with_confidence(found, confidence)
+            if limit is not None:
+                found = found.orderBy(F.col("module").asc_nulls_first(), F.col("name").asc_nulls_first(), "id").limit(limit)
+    if not arrows:
+        return found, None
+    elements, passed = traverse(g, found.select("id"), [(k, direction) for k in arrows], derived, confidence)
+    return elements, passed.groupBy("id", "kind", "src_id", "dst_id").agg(F.min("level").alias("level"))

@@ -8,7 +8,7 @@ from arrowlens.operators import constraints, context, domain, mining, motifs, pl
 from arrowlens.operators.graph import ARROW_KINDS, ELEMENT_KINDS, Graph, code_graph, store
 from arrowlens.runtime import Scratch
 from arrowlens.sources.code import cross_file
-from arrowlens.sources.lens import CTE, star_graph
+from arrowlens.sources.lens import CTE, star_graph, star_lens
 from arrowlens.sources.tables import table
 from arrowlens.streaming import feed
 
@@ -16,14 +16,16 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, lens: bool = True):
-    """Registers a function of the star graph (lens) or of (spark, sf_dir)."""
+def query(sql: str | None = None, lens: bool | str = True, queries: dict | None = None, oracles: dict[str, str] | None = None):
+    """Registers a function of the star graph (lens), of the star graph as a plan that is not stored (lens "plan", for
+    queries that read few kinds once), or of (spark, sf_dir)."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(star_graph(spark, sf_dir))) if lens else f
+        graph = star_lens if lens == "plan" else star_graph
+        (QUERIES if queries is None else queries)[f.__name__] = (lambda spark, sf_dir: f(graph(spark, sf_dir))) if lens else f
         if sql:
             s = sql.strip()
-            ORACLES[f.__name__] = (CTE + (", " + s[5:] if s.startswith("WITH ") else "\n" + s)) if lens else s
+            (ORACLES if oracles is None else oracles)[f.__name__] = (CTE + (", " + s[5:] if s.startswith("WITH ") else "\n" + s)) if lens else s
         return f
 
     return add
@@ -107,7 +109,7 @@ def degrees(g: Graph) -> DataFrame:
 
 @query("""
 SELECT r.name, count(DISTINCT c.id) AS customers FROM elem c JOIN arr a ON a.src_id = c.id AND a.kind = 'memberOf'
-JOIN arr b ON b.src_id = a.dst_id AND b.kind = 'definedIn' JOIN elem r ON r.id = b.dst_id WHERE c.kind = 'function' GROUP BY r.name""")
+JOIN arr b ON b.src_id = a.dst_id AND b.kind = 'definedIn' JOIN elem r ON r.id = b.dst_id WHERE c.kind = 'function' GROUP BY r.name""", lens="plan")
 def traverse_two_hop(g: Graph) -> DataFrame:
     ends = traverse.reach(g, ids(g, "function"), ["memberOf", "definedIn"])
     return ends.join(g.elem.select("id", "name"), "id").groupBy("name").agg(F.countDistinct("seed").alias("customers"))
@@ -279,6 +281,13 @@ d1 AS (SELECT DISTINCT k.kind AS path, k.kind AS last, s.seed, k.dst_id AS id FR
 """ + _MINE[_MINE.index("d2 AS") :]
 
 
+def mine_coverage_sql() -> str:
+    return """, sets AS (SELECT path, seed, list_sort(list(DISTINCT id)) AS ends FROM reached WHERE path IN (SELECT lhs FROM pairs UNION SELECT rhs FROM pairs) GROUP BY 1, 2),
+sides AS (SELECT p.lhs, p.rhs, s.seed, s.ends AS l, CAST(NULL AS VARCHAR[]) AS r FROM pairs p JOIN sets s ON s.path = p.lhs UNION ALL SELECT p.lhs, p.rhs, s.seed, CAST(NULL AS VARCHAR[]), s.ends FROM pairs p JOIN sets s ON s.path = p.rhs),
+joined AS (SELECT lhs, rhs, seed, max(l) AS l, max(r) AS r FROM sides GROUP BY 1, 2, 3)
+SELECT lhs, rhs, count(*) FILTER (WHERE l = r) AS support, count(*) AS total FROM joined GROUP BY 1, 2"""
+
+
 def _mined_all(g: Graph) -> DataFrame:
     return mining.path_kinds(g, mining.sample_seeds(g, size=None), mining.kinds_in_use(g), 2)
 
@@ -294,13 +303,7 @@ def mine_candidate_pairs_all(g: Graph) -> DataFrame:
     return mining.candidate_pairs(_mined_all(g)).select("domain_kind", F.array_join("lhs", ">").alias("lhs"), F.array_join("rhs", ">").alias("rhs"))
 
 
-@query(
-    _MINE_ALL
-    + """, sets AS (SELECT path, seed, list_sort(list(DISTINCT id)) AS ends FROM reached WHERE path IN (SELECT lhs FROM pairs UNION SELECT rhs FROM pairs) GROUP BY 1, 2),
-sides AS (SELECT p.lhs, p.rhs, s.seed, s.ends AS l, CAST(NULL AS VARCHAR[]) AS r FROM pairs p JOIN sets s ON s.path = p.lhs UNION ALL SELECT p.lhs, p.rhs, s.seed, CAST(NULL AS VARCHAR[]), s.ends FROM pairs p JOIN sets s ON s.path = p.rhs),
-joined AS (SELECT lhs, rhs, seed, max(l) AS l, max(r) AS r FROM sides GROUP BY 1, 2, 3)
-SELECT lhs, rhs, count(*) FILTER (WHERE l = r) AS support, count(*) AS total FROM joined GROUP BY 1, 2"""
-)
+@query(_MINE_ALL + mine_coverage_sql())
 def mine_coverage_all(g: Graph) -> DataFrame:
     m = mining.mine_equations(g, None, mining.SEED_KINDS, 2, 0.0, None)
     return m.select(F.array_join("lhs", ">").alias("lhs"), F.array_join("rhs", ">").alias("rhs"), "support", "total")
@@ -472,8 +475,8 @@ def dedup_keepers(g: Graph) -> DataFrame:
 # similarity and context ------------------------------------------------------------------------------------------
 
 
-@query("""
-WITH t AS (SELECT id, name, module FROM elem WHERE kind = 'function' AND CAST(substring(id, 10) AS BIGINT) % 20 = 0),
+_ANALOGUES = """
+WITH t AS (SELECT id, name, module FROM elem WHERE {WHERE}),
 c AS (SELECT DISTINCT src_id AS id, dst_id FROM arr WHERE kind = 'callerOf'), sz AS (SELECT id, count(*) AS n FROM c GROUP BY 1),
 sh AS (SELECT a.id AS target, b.id, count(*) AS nb FROM c a JOIN t ON t.id = a.id JOIN c b ON b.dst_id = a.dst_id AND b.id <> a.id GROUP BY 1, 2),
 nm AS (SELECT t.id AS target, e.id, 0 AS nb FROM t JOIN elem e ON e.name = t.name AND e.id <> t.id AND e.kind = 'function'),
@@ -481,23 +484,17 @@ pr AS (SELECT target, id, max(nb) AS nb FROM (SELECT * FROM sh UNION ALL SELECT
 sc AS (SELECT p.target, p.id, greatest(CASE WHEN p.nb > 0 THEN CAST(p.nb AS DOUBLE) / (st.n + se.n - p.nb) ELSE 0 END, CASE WHEN e.name = t.name THEN 0.5 ELSE 0 END) AS s
   FROM pr p JOIN t ON t.id = p.target JOIN elem e ON e.id = p.id AND e.kind = 'function' LEFT JOIN sz st ON st.id = p.target LEFT JOIN sz se ON se.id = p.id WHERE e.module IS DISTINCT FROM t.module),
 rk AS (SELECT target, id, s, row_number() OVER (PARTITION BY target ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0)
-SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3""")
+SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3"""
+
+
+@query(_ANALOGUES.replace("{WHERE}", "kind = 'function' AND TRY_CAST(substring(id, 10) AS BIGINT) % 20 = 0"))
 def analogues_topk(g: Graph) -> DataFrame:
     """A search: its queries are the functions whose number is divisible by 20, against all; analogues_all asks for all."""
-    a = context.analogues(g, ids(g, "function").where(F.substring("id", 10, 20).cast("bigint") % 20 == 0), 3)
+    a = context.analogues(g, ids(g, "function").where(F.substring("id", 10, 20).try_cast("bigint") % 20 == 0), 3)
     return a.select("target", "id", F.round(F.col("similarity") * 1_000_000_000).cast("bigint").alias("similarity_e9"), "rank")
 
 
-@query("""
-WITH t AS (SELECT id, name, module FROM elem WHERE kind = 'function'),
-c AS (SELECT DISTINCT src_id AS id, dst_id FROM arr WHERE kind = 'callerOf'), sz AS (SELECT id, count(*) AS n FROM c GROUP BY 1),
-sh AS (SELECT a.id AS target, b.id, count(*) AS nb FROM c a JOIN t ON t.id = a.id JOIN c b ON b.dst_id = a.dst_id AND b.id <> a.id GROUP BY 1, 2),
-nm AS (SELECT t.id AS target, e.id, 0 AS nb FROM t JOIN elem e ON e.name = t.name AND e.id <> t.id AND e.kind = 'function'),
-pr AS (SELECT target, id, max(nb) AS nb FROM (SELECT * FROM sh UNION ALL SELECT * FROM nm) x GROUP BY 1, 2),
-sc AS (SELECT p.target, p.id, greatest(CASE WHEN p.nb > 0 THEN CAST(p.nb AS DOUBLE) / (st.n + se.n - p.nb) ELSE 0 END, CASE WHEN e.name = t.name THEN 0.5 ELSE 0 END) AS s
-  FROM pr p JOIN t ON t.id = p.target JOIN elem e ON e.id = p.id AND e.kind = 'function' LEFT JOIN sz st ON st.id = p.target LEFT JOIN sz se ON se.id = p.id WHERE e.module IS DISTINCT FROM t.module),
-rk AS (SELECT target, id, s, row_number() OVER (PARTITION BY target ORDER BY s DESC, id) AS rank FROM sc WHERE s > 0)
-SELECT target, id, CAST(round(s * 1000000000) AS BIGINT) AS similarity_e9, rank FROM rk WHERE rank <= 3""")
+@query(_ANALOGUES.replace("{WHERE}", "kind = 'function'"))
 def analogues_all(g: Graph) -> DataFrame:
     """Analogues of every function."""
     a = context.analogues(g, ids(g, "function"), 3)
@@ -519,22 +516,6 @@ def missing_imports(g: Graph) -> DataFrame:
     return context.missing_imports(g, ids(g, "function"))
 
 
-@query("""
-WITH f AS (SELECT DISTINCT src_id, dst_id FROM arr WHERE kind = 'param'), s AS (SELECT DISTINCT src_id, dst_id FROM arr WHERE kind = 'callerOf')
-SELECT e.id, (SELECT count(*) FROM arr a WHERE a.src_id = e.id) AS n_out, (SELECT count(*) FROM arr a WHERE a.dst_id = e.id) AS n_in, p.confidence
-FROM elem e JOIN prov p ON p.elem_id = e.id WHERE e.kind = 'class'""")
-def inspect_elements(g: Graph) -> DataFrame:
-    i = context.inspect(g, ids(g, "class"))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return i.select("id", n("outgoing").alias("n_out"), n("incoming").alias("n_in"), F.col("provenance.confidence").alias("confidence"))
-
-
-@query()
-def brief_elements(g: Graph) -> DataFrame:
-    b = context.brief(g, ids(g, "function"))
-    return b.select("id", F.size("must_call").alias("must_call"), F.size("analogues").alias("analogues"), F.size("missing_imports").alias("missing_imports"))
-
-
 # working sets ----------------------------------------------------------------------------------------------------
 
 
@@ -603,8 +584,8 @@ def ws_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ops(g: Graph) -> DataFrame:
     """Customers of nation 3 move to nation 4's module; class 2 goes; a symbol and an arrow come."""
     moved = g.arr.where("kind = 'memberOf' AND dst_id = 'nation:3' AND src_id LIKE 'customer:%'").select(F.col("src_id").alias("target"))
-    e4 = F.broadcast(g.element("nation:4").select(F.col("name").alias("module")))
-    mv = moved.join(e4).select(F.lit("move").alias("op"), "target", "module")
+    e4 = g.element("nation:4").select(F.lit("nation:4").alias("to"), F.col("name").alias("module"))
+    mv = moved.withColumn("to", F.lit("nation:4")).join(e4, "to").select(F.lit("move").alias("op"), "target", "module")
     rows = plan.plan_rows(g.spark, [{"op": "remove_symbol", "target": "supplier:2"}, {"op": "add_symbol", "name": "Made", "module": "here", "kind": "class"}, {"op": "add_arrow", "src": "customer:1", "dst": "manual:here:0:0:class:Made", "kind": "calls"}, {"op": "rename", "target": "nowhere:1", "name": "x"}])
     m = mv.select(F.lit(100).alias("ord"), "op", "target", F.lit(None).cast("string").alias("name"), "module", *(F.lit(None).cast("string").alias(c) for c in ("kind", "src", "dst", "text")))
     return rows.unionByName(m)
@@ -634,17 +615,6 @@ def plan_validate(g: Graph) -> DataFrame:
     return plan.validate(g, _ops(g)).groupBy("op", "fault").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH mv AS (SELECT src_id AS id FROM arr WHERE kind = 'memberOf' AND dst_id = 'nation:3' AND src_id LIKE 'customer:%')
-SELECT 'remove_symbol' AS op, 'rollback' AS verdict, 1 AS n UNION ALL SELECT 'add_symbol', 'redirect', 1 UNION ALL SELECT 'add_arrow', 'keep', 1 UNION ALL SELECT 'rename', 'keep', 1
-UNION ALL SELECT 'move', 'keep', count(*) FROM mv HAVING count(*) > 0""")
-def plan_revise_verdicts(g: Graph) -> DataFrame:
-    spark = g.spark
-    links = spark.createDataFrame([("supplier:2", "b2")], "elem_id string, brief_id string")
-    delta = spark.createDataFrame([("b2", "Two", "removed"), ("b3", "Made", "modified")], "brief_id string, name string, change string")
-    return plan.revise(_ops(g), links, delta).groupBy("op", "verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""
 SELECT id FROM (SELECT id FROM elem WHERE id <> 'supplier:2' UNION ALL SELECT 'manual:here:0:0:class:Made') x""")
 def plan_applied_elements(g: Graph) -> DataFrame:

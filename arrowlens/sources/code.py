@@ -26,13 +26,15 @@ STAGED = "file string, seq int, row string, kind string, name string, line int,
 Extractor = Callable[[str, str], list[tuple]]
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*.{ts,tsx,clj,cljs,cljc}") -> DataFrame:
-    """(file, text): files under a root that are not ignored and not too large; paths are relative to the root."""
+def read_files(spark: SparkSession, root: str, glob: str = "*.{ts,tsx,clj,cljs,cljc}", ignored: str = IGNORED, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(file, text): files under a root that are not ignored; paths are relative to the root. A file of more than
+    max_bytes (None: no bound) has a null text, from which `stage` makes an error row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^\w+:/+", "/", root.rstrip("/")) + "/"  # schemes are written with one slash or three
     rel = F.element_at(F.split(F.regexp_replace("path", r"^\w+:/+", "/"), re.escape(base), 2), -1)
-    files = raw.where(f"length <= {MAX_BYTES}").select(rel.alias("file"), F.decode("content", "UTF-8").alias("text"))
-    return files.where(~F.col("file").rlike(IGNORED)).dropDuplicates(["file"])
+    text = F.decode("content", "UTF-8")
+    files = raw.select(rel.alias("file"), (text if max_bytes is None else F.when(F.col("length") <= max_bytes, text)).alias("text"))
+    return files.where(~F.col("file").rlike(ignored))
 
 
 _TS_DECL = re.compile(
@@ -174,7 +176,9 @@ def stage(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> D
             rows = []
             for file, text in zip(pdf["file"], pdf["text"]):
                 ext = "." + file.rsplit(".", 1)[-1]
-                if ext in by and text is not None:
+                if text is None:
+                    rows.append((file, 0, "error", None, "too large or unreadable", 0, 0, 0, 0, None, None, None, "{}"))
+                elif ext in by:
                     try:
                         rows += by[ext](file, text)
                     except Exception as e:
@@ -206,6 +210,11 @@ def cross_file(pending: DataFrame, elems: DataFrame) -> DataFrame:
     return ok.groupBy("pending_id").agg(F.count(F.lit(1)).alias("n"), F.min("dst_id").alias("dst_id")).where("n = 1").select("pending_id", "dst_id")
 
 
+def extraction_errors(staged: DataFrame) -> DataFrame:
+    """(file, fault): files that gave nothing because they are too large, unreadable or made their extractor fail."""
+    return staged.where("row = 'error'").select("file", F.col("name").alias("fault"))
+
+
 def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     """The resolved graph of staged rows."""
     scratch = Scratch(staged.sparkSession, "code")  # extraction runs once; each table below is read several times
@@ -215,7 +224,7 @@ def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     span = F.format_string("%s:%d:%d-%d:%d", "file", "line", "col", "end_line", "end_col")
     elem = e0.select("file", "seq", "row", F.concat_ws(":", F.lit("module"), "file", F.col("line").cast("string"), F.col("col").cast("string"), "kind", "name").alias("id"), "kind", "name", span.alias("span"), "attrs", F.col("src").alias("parent"))
     elem = scratch.write(elem, "elem")
-    files = staged.select("file").distinct()
+    files = staged.where("row <> 'error'").select("file").distinct()
     file_elem = files.select(F.concat(F.lit("file:"), "file").alias("id"), F.lit("file").alias("kind"), F.element_at(F.split("file", "/"), -1).alias("name"), F.col("file").alias("module"), F.lit(None).cast("string").alias("span"), F.lit("{}").alias("attrs"))
     own = elem.select("id", "kind", "name", F.col("file").alias("module"), "span", "attrs")
     local = one_per(elem.where("row = 'elem'").select("file", "name", "id", "seq"), ["file", "name"], [F.col("seq")]).drop("seq")
@@ -268,16 +277,3 @@ def replace_extracted(old: Graph, new: Graph) -> Graph:
     stay = stay.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     prov = old.prov.where("source <> 'tree-sitter'").join(ids.withColumnRenamed("id", "elem_id"), "elem_id", "left_semi")
     return Graph(elem, new.arr.unionByName(stay.select(new.arr.columns)), new.prov.unionByName(prov.select(new.prov.columns)))
-
-
-def snippet(files: DataFrame, spans: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-    """(elem_id, snippet): lines of the span (file, start_line, end_line) with some context."""
-    lines = F.split("text", "\n")
-    first = F.greatest(F.lit(1), F.col("start_line") - before)
-    text = F.array_join(F.slice(lines, first, F.least(F.size(lines), F.col("end_line") + after) - first + 1), "\n")
-    return spans.join(files, "file").where(F.size(lines) >= F.col("start_line")).select("elem_id", text.alias("snippet"))
-
-
-def signature(snip) -> object:
-    """Text before the first brace, semicolon or line end."""
-    return F.trim(F.regexp_extract(snip, r"^[^{;\n]*", 0))

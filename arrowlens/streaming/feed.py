@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from arrowlens.operators.graph import Graph
+from arrowlens.operators.graph import Graph, one_row
 
 CHANGES = "set_id string, updated_at timestamp, deleted boolean"
 EVENTS = "set_id string, event string, updated_at timestamp"
@@ -55,12 +55,49 @@ def feed_stream(changes: DataFrame, heartbeat_ms: int | None = None) -> DataFram
     return changes.groupBy("set_id").applyInPandasWithState(run, EVENTS, "last long, gone boolean", "append", timeout)
 
 
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(file, sha): what of files (file, text) is kept to find changes later."""
+    return files.select("file", F.sha2(F.coalesce("text", F.lit("\0")), 256).alias("sha"))
+
+
+def is_fresh(stored_sha: str | None, sha: str | None) -> bool:
+    """Whether a graph stored at a commit needs no ingest at another; an unknown commit always does."""
+    return bool(sha) and stored_sha == sha
+
+
+def changed_files(before: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, change): added, changed or deleted against the fingerprints before."""
+    now = fingerprints(files).withColumnRenamed("sha", "now")
+    both = before.select("file", "sha").join(now, "file", "full_outer")
+    change = F.when(F.col("sha").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("sha") != F.col("now"), "changed")
+    return both.select("file", change.alias("change")).where("change IS NOT NULL")
+
+
+def ingest(g: Graph | None, before: DataFrame | None, files: DataFrame, sha: str = "", at: int = 0) -> tuple[Graph, DataFrame]:
+    """(graph, fingerprints) after files (file, text): everything without a graph, else only what changed.
+
+    Names of changed files are resolved against everything that is there, so all files are staged (extraction is one
+    pass without a shuffle), but only modules that were added, changed or deleted are replaced; manual facts stay.
+    """
+    from arrowlens.sources.code import build_graph, replace_extracted, stage
+
+    whole = build_graph(stage(files), sha, at)
+    marks = fingerprints(files)
+    if g is None:
+        return whole, marks
+    if before is None:
+        return replace_extracted(g, whole), marks
+    changes = changed_files(before, files).select(F.col("file").alias("module"))
+    fresh = whole.elem.join(changes, "module", "left_semi").select(whole.elem.columns)
+    return merged(g, changes, fresh, whole.arr, sha, at), marks
+
+
 def merge_each(batches: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str):
     """Starts a stream that hands every micro-batch of changed files to `merge` (exactly one batch at a time)."""
     return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: merge(df)).trigger(availableNow=True).start()
 
 
-def merged(g: Graph, changed_modules: DataFrame, elem: DataFrame, arr: DataFrame) -> Graph:
+def merged(g: Graph, changed_modules: DataFrame, elem: DataFrame, arr: DataFrame, sha: str = "", at: int = 0) -> Graph:
     """The graph after the elements and arrows extracted from changed modules replace the extracted ones before.
 
     Elements with a provenance source other than tree-sitter stay. Arrows between unchanged modules stay, and so do
@@ -69,12 +106,12 @@ def merged(g: Graph, changed_modules: DataFrame, elem: DataFrame, arr: DataFrame
     manual = g.prov.where("source <> 'tree-sitter'").select(F.col("elem_id").alias("id")).distinct()
     stale = g.elem.join(changed_modules.select("module").distinct(), "module", "left_semi").join(manual, "id", "left_anti").select("id")
     kept = g.elem.join(stale, "id", "left_anti").select(g.elem.columns)
-    fresh = elem.join(kept.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(g.elem.columns)
+    fresh = one_row(elem.join(kept.select("id"), "id", "left_anti").select(g.elem.columns))
     all_elem = kept.unionByName(fresh)
     ids = all_elem.select("id")
     old = g.arr.join(stale.withColumnRenamed("id", "src_id"), "src_id", "left_anti").select(g.arr.columns)
-    new = arr.join(old.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(g.arr.columns)
+    new = one_row(arr.join(old.select("id"), "id", "left_anti").select(g.arr.columns))
     a = old.unionByName(new).join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     prov = g.prov.join(ids.withColumnRenamed("id", "elem_id"), "elem_id", "left_semi").select(g.prov.columns)
-    known = fresh.select(F.col("id").alias("elem_id"), F.lit("tree-sitter").alias("source"), F.lit("").alias("commit_sha"), F.lit(0).cast("long").alias("ingested_at"), F.lit("resolved").alias("confidence"))
+    known = fresh.select(F.col("id").alias("elem_id"), F.lit("tree-sitter").alias("source"), F.lit(sha).alias("commit_sha"), F.lit(at).cast("long").alias("ingested_at"), F.lit("resolved").alias("confidence"))
     return Graph(all_elem, a.select(g.arr.columns), prov.unionByName(known.join(prov.select("elem_id"), "elem_id", "left_anti").select(prov.columns)))
