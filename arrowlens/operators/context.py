@@ -160,7 +160,9 @@ def brief(g: Graph, ids: DataFrame, top: int = 3, files: DataFrame | None = None
 def brief_arrows(briefs: DataFrame, set_id: str) -> DataFrame:
     """Arrows for a working set (set_id, kind, src_id, dst_id, note, source): what a brief says should be called,
     implemented and looked at."""
-    sides = (("shouldCall", F.col("must_call")), ("shouldImplement", F.col("must_implement")), ("analogueOf", F.transform("analogues", lambda a: a["other"])))
-    rows = F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda d, k=k: F.struct(F.lit(k).alias("kind"), d.alias("dst_id"))) for k, c in sides)))
+    def arrows(kind: str, ends) -> F.Column:
+        return F.transform(F.coalesce(ends, F.array().cast("array<string>")), lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("dst_id")))
+
+    rows = F.concat(arrows("shouldCall", F.col("must_call")), arrows("shouldImplement", F.col("must_implement")), arrows("analogueOf", F.transform("analogues", lambda a: a["other"])))
     none = F.lit(None).cast("string")
     return briefs.select(F.lit(set_id).alias("set_id"), F.col("id").alias("src_id"), F.inline(rows)).select("set_id", "kind", "src_id", "dst_id", none.alias("note"), F.lit("brief").alias("source"))

@@ -54,19 +54,24 @@ def salted_counts(arrows: DataFrame, scratch: Scratch, measures: tuple[str, ...]
     narrow = arrows.select(*(h.alias(f"{n}{j}") for n in wanted for j, h in enumerate(hashes[n], 1)))
     distinct = narrow.groupBy("i1", "i2").agg(*(F.first(f"{n}{j}").alias(f"{n}{j}") for n in wanted[1:] for j in (1, 2)))
 
-    def facts(side: str, key: str, other: str) -> list:
-        of = {"arrows": "i", "neighbours": other, "kinds": "c"}
-        return [F.struct(F.lit(side).alias("side"), F.col(f"{key}1").alias("k1"), F.col(f"{key}2").alias("k2"), F.lit(m).alias("what"), F.col(f"{of[m]}1").alias("h1"), F.col(f"{of[m]}2").alias("h2")) for m in measures]
-
-    exploded = distinct.select(F.inline(F.array(*facts("dst", "d", "s"), *facts("src", "s", "d"))))
-    salted = exploded.join(salts, ["side", "k1", "k2"], "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod("h1", F.col("salts"))).otherwise(F.lit(0)).cast("int"))
-    keys = ["side", "k1", "k2", "salt"]
-    if measures == ("arrows",):
-        once = salted  # an arrow is a fact of its own already
+    def facts(of: dict[str, str]) -> F.Column:
+        """Both ends of an arrow as (side, key, fact), of[side] naming the fact."""
+        ends = (("dst", "d"), ("src", "s"))
+        return F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{k}1").alias("k1"), F.col(f"{k}2").alias("k2"), F.col(f"{of[s]}1").alias("h1"), F.col(f"{of[s]}2").alias("h2")) for s, k in ends)))
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.join(salts, ["side", "k1", "k2"], "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod("h1", F.col("salts"))).otherwise(F.lit(0)).cast("int"))
+
+    key, zero = ["side", "k1", "k2"], F.lit(0).cast("long")
+    if measures == ("arrows",):  # an arrow is a fact of its own already
+        partial = salted(distinct.select(facts({"dst": "i", "src": "i"}))).groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("arrows"))
     else:
-        once = salted.groupBy(*keys, "what", "h1", "h2").agg(F.lit(1).alias("one"))
-    partial = once.groupBy(*keys).agg(*(F.count(F.when(F.col("what") == m, True)).alias(m) for m in measures))
-    return partial.groupBy("side", "k1", "k2").agg(*(F.sum(m).alias(m) for m in measures))
+        # arrows with one other end make one fact; kinds are few for each key and are combined before the shuffle
+        pairs = salted(distinct.select(facts({"dst": "s", "src": "d"}))).groupBy(*key, "salt", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        near = pairs.groupBy(*key, "salt").agg(F.sum("n").alias("arrows"), F.count(F.lit(1)).alias("neighbours")).select(*key, "arrows", "neighbours", zero.alias("kinds"))
+        kinds = distinct.select(facts({"dst": "c", "src": "c"})).groupBy(*key, "h1", "h2").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"))
+        partial = near.unionByName(kinds.select(*key, zero.alias("arrows"), zero.alias("neighbours"), "kinds"))
+    return partial.groupBy(*key).agg(*(F.sum(m).alias(m) for m in measures))
 
 
 def _ends(arrows: DataFrame) -> DataFrame:

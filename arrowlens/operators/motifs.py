@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from arrowlens.operators.graph import Graph
 from arrowlens.operators.mining import mine_equations, prune
 from arrowlens.operators.traverse import ego
+from arrowlens.runtime import Scratch
 
 
 def motif_seeds(g: Graph, kinds: Sequence[str] = ("function", "class", "interface"), scope: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
@@ -31,14 +32,20 @@ def roles(g: Graph, nodes: DataFrame) -> DataFrame:
     return named.select("seed", "id", "kind", F.concat_ws("_", "kind", (F.row_number().over(w) - 1).cast("string")).alias("role"))
 
 
-def shapes(g: Graph, seeds: DataFrame, depth: int = 2, kinds: Sequence[str] | None = None) -> DataFrame:
-    """(seed, shape_hash, shape): SHA-256 of the sorted objects and arrows as compact JSON."""
+def balls(g: Graph, seeds: DataFrame, depth: int = 2, kinds: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(roles, edges) of the ego graphs, stored once; what follows reads them several times."""
+    scratch = Scratch(g.spark, "balls")
     nodes, edges = ego(g, seeds, depth, kinds)
-    r = roles(g, nodes)
+    return scratch.write(roles(g, nodes), "roles"), scratch.write(edges.select("seed", F.col("kind").alias("label"), "src_id", "dst_id"), "edges")
+
+
+def shapes(g: Graph, seeds: DataFrame, depth: int = 2, kinds: Sequence[str] | None = None, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(seed, shape_hash, shape): SHA-256 of the sorted objects and arrows as compact JSON. `of` takes balls made before."""
+    r, edges = of or balls(g, seeds, depth, kinds)
     objects = r.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("kind", "role"))).alias("objects"))
     f = r.select("seed", F.col("id").alias("src_id"), F.col("role").alias("fromRole"))
     t = r.select("seed", F.col("id").alias("dst_id"), F.col("role").alias("toRole"))
-    placed = edges.select("seed", F.col("kind").alias("label"), "src_id", "dst_id").join(f, ["seed", "src_id"]).join(t, ["seed", "dst_id"])
+    placed = edges.join(f, ["seed", "src_id"]).join(t, ["seed", "dst_id"])
     arrows = placed.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("fromRole", "label", "toRole"))).alias("arrows"))
     none = F.array().cast("array<struct<fromRole:string,label:string,toRole:string>>")
     whole = objects.join(arrows, "seed", "left").select("seed", F.struct("objects", F.coalesce("arrows", none).alias("arrows")).alias("shape"))
@@ -55,10 +62,10 @@ def group_shapes(found: DataFrame, min_support: int = 3) -> DataFrame:
 
 def instances(g: Graph, seeds: DataFrame, depth: int = 2, kinds: Sequence[str] | None = None, min_support: int = 3) -> DataFrame:
     """(shape_hash, seed, role, elem_id): which element plays which role in each instance of a supported shape."""
-    found = shapes(g, seeds, depth, kinds)
+    made = balls(g, seeds, depth, kinds)
+    found = shapes(g, seeds, depth, kinds, made)
     kept = group_shapes(found, min_support).select("shape_hash")
-    nodes, _ = ego(g, seeds, depth, kinds)
-    return found.join(kept, "shape_hash", "left_semi").select("seed", "shape_hash").join(roles(g, nodes), "seed").select("shape_hash", "seed", "role", F.col("id").alias("elem_id"))
+    return found.join(kept, "shape_hash", "left_semi").select("seed", "shape_hash").join(made[0], "seed").select("shape_hash", "seed", "role", F.col("id").alias("elem_id"))
 
 
 def candidates(found: DataFrame, placed: DataFrame, min_support: int = 3) -> DataFrame:

@@ -2,8 +2,7 @@
 
 Files are read distributed as binary, texts go through an extractor by file extension in one Arrow pass, and names are
 resolved by joins: within a file first, then across files where a name, or a name with its import's module, is unique.
-The extractors are small scanners, not full parsers: they find declarations, imports, heritage, fields and calls of
-TypeScript and Clojure by line and brace depth.
+The extractors are scanners, not full parsers (see `extractors`).
 """
 
 from __future__ import annotations
@@ -11,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arrowlens.operators.constraints import one_per
 from arrowlens.operators.graph import Graph, arrow_id
+from arrowlens.sources.extractors import extract_clojure, extract_typescript
 from arrowlens.runtime import Scratch
 
 #: What discovery leaves out, and the largest file in bytes.
@@ -37,130 +37,6 @@ def read_files(spark: SparkSession, root: str, glob: str = "*.{ts,tsx,clj,cljs,c
     return files.where(~F.col("file").rlike(ignored))
 
 
-_TS_DECL = re.compile(
-    r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    r"(?:(function)\s*\*?\s*(\w+)|(class)\s+(\w+)|(interface)\s+(\w+)|(enum)\s+(\w+)|(type)\s+(\w+)\s*(?:<[^=]*>)?\s*=|(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>)"
-)
-_TS_METHOD = re.compile(r"^\s*(?:public\s+|private\s+|protected\s+|static\s+|async\s+|readonly\s+|get\s+|set\s+)*(\w+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^{;]+)?\{\s*$")
-_TS_FIELD = re.compile(r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*(readonly\s+)?(\w+)(\?)?\s*:\s*([^;=,{]+)")
-_TS_IMPORT = re.compile(r"""^\s*import\s+(?:type\s+)?(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\})?(?:\*\s+as\s+(\w+))?\s*from\s*['"]([^'"]+)['"]""")
-_TS_CALL = re.compile(r"(?<![\w.])(?:new\s+)?(\w+)\s*\(")
-_TYPE_NAME = re.compile(r"\b[A-Z]\w*")
-_NOT_CALLS = frozenset("if for while switch catch return function typeof await new super constructor import".split())
-
-
-def extract_typescript(file: str, text: str) -> list[tuple]:
-    """Staged rows of one TypeScript file: 'elem', 'arrow' and 'prop'."""
-    rows: list[tuple] = []
-    lines = text.split("\n")
-    depth, scopes, aliases = 0, [], {}
-
-    def elem(kind, name, i, end, attrs="{}"):
-        rows.append((file, len(rows), "elem", kind, name, i + 1, 1, end + 1, len(lines[end]) + 1, None, None, None, attrs))
-
-    def arrow(kind, src, dst, module=None):
-        rows.append((file, len(rows), "arrow", kind, None, 0, 0, 0, 0, src, dst, module, "{}"))
-
-    def closing(i):
-        d = 0
-        for j in range(i, len(lines)):
-            d += lines[j].count("{") - lines[j].count("}")
-            if d <= 0 and ("{" in lines[j] or "}" in lines[j] or j > i or lines[j].rstrip().endswith(";")):
-                return j
-        return len(lines) - 1
-
-    for i, line in enumerate(lines):
-        code = re.sub(r"//.*$", "", line)
-        while scopes and i > scopes[-1][2]:
-            scopes.pop()
-        if m := _TS_IMPORT.match(code):
-            module = m[4]
-            names = [x for x in (m[1], m[3]) if x] + [p.split(" as ")[-1].strip() for p in (m[2] or "").split(",") if p.strip()]
-            for n in names:
-                aliases[n] = module
-                elem("import", n, i, i, '{"module":"%s"}' % module)
-                arrow("importsFrom", n, module, module)
-            continue
-        here = next((s for s in reversed(scopes) if s[0] in ("function", "method")), None)
-        if m := _TS_DECL.match(code):
-            kind, name = next(((m[k], m[k + 1]) for k in (1, 3, 5, 7, 9) if m[k]), ("function", m[11]))
-            end = closing(i)
-            elem(kind, name, i, end)
-            scopes.append((kind, name, end))
-            for word in ("extends", "implements"):
-                if h := re.search(rf"\b{word}\s+([\w\s,.<>]+?)(?=\bimplements\b|\{{|$)", code):
-                    for t in re.findall(r"\b[A-Za-z_]\w*", re.sub(r"<[^>]*>", "", h[1])):
-                        arrow(word, name, t, aliases.get(t))
-            continue
-        owner = scopes[-1] if scopes else None
-        if owner and owner[0] == "class" and (m := _TS_METHOD.match(code)) and m[1] not in _NOT_CALLS:
-            end = closing(i)
-            elem("method", m[1], i, end)
-            arrow("memberOf", m[1], owner[1])
-            scopes.append(("method", m[1], end))
-            continue
-        if owner and owner[0] in ("class", "interface", "type") and (m := _TS_FIELD.match(code)):
-            refs = ",".join(f'"{t}"' for t in dict.fromkeys(_TYPE_NAME.findall(m[4])))
-            attrs = '{"typeText":"%s","optional":%s,"readonly":%s,"typeRefs":[%s]}' % (m[4].strip().replace('"', "'"), str(bool(m[3])).lower(), str(bool(m[1])).lower(), refs)
-            rows.append((file, len(rows), "prop", "property", f"{owner[1]}.{m[2]}", i + 1, 1, i + 1, len(line) + 1, owner[1], None, None, attrs))
-            continue
-        if here:
-            for c in _TS_CALL.findall(code):
-                if c not in _NOT_CALLS:
-                    arrow("callerOf", here[1], c, aliases.get(c))
-    return rows
-
-
-_CLJ_DEF = re.compile(r"^\s*\((defn-?|defmulti|def|defprotocol|defrecord|defmethod|deftype)\s+(?:\^\S+\s+)*([^\s()\[\]]+)")
-_CLJ_NS = re.compile(r"^\s*\(ns\s+([^\s()]+)")
-_CLJ_REQ = re.compile(r"\[([\w.\-]+)(?:\s+:as\s+([\w.\-]+))?(?:\s+:refer\s+\[([^\]]*)\])?\]")
-_CLJ_CALL = re.compile(r"\(([\w\-.!?*+<>=]+(?:/[\w\-.!?*+<>=]+)?)")
-_CLJ_KIND = {"defn": "function", "defn-": "function", "defmulti": "function", "def": "const", "defprotocol": "interface", "defrecord": "class", "deftype": "class", "defmethod": "method"}
-
-
-def extract_clojure(file: str, text: str) -> list[tuple]:
-    """Staged rows of one Clojure file; calls go through aliases and referred names."""
-    rows: list[tuple] = []
-    lines = text.split("\n")
-    alias, refer, here = {}, {}, None
-
-    def suffix(ns):
-        return ns.replace(".", "/").replace("-", "_") + ".clj"
-
-    def elem(kind, name, i, attrs="{}"):
-        rows.append((file, len(rows), "elem", kind, name, i + 1, 1, i + 1, len(lines[i]) + 1, None, None, None, attrs))
-
-    def arrow(kind, src, dst, module=None):
-        rows.append((file, len(rows), "arrow", kind, None, 0, 0, 0, 0, src, dst, module, "{}"))
-
-    for i, line in enumerate(lines):
-        code = re.sub(r";.*$", "", line)
-        if m := _CLJ_NS.match(code):
-            elem("namespace", m[1], i)
-        for ns, a, names in _CLJ_REQ.findall(code) if ":require" in text else ():
-            alias[a or ns] = ns
-            elem("import", a or ns, i, '{"module":"%s"}' % ns)
-            arrow("importsFrom", a or ns, ns, ns)
-            refer |= {n: ns for n in names.split()}
-        if m := _CLJ_DEF.match(code):
-            here = m[2]
-            elem(_CLJ_KIND[m[1]], here, i)
-            code = code[m.end() :]
-        if here:
-            for c in _CLJ_CALL.findall(code):
-                a, _, n = c.rpartition("/")
-                if a in alias:
-                    arrow("callerOf", here, n, suffix(alias[a]))
-                elif n in refer:
-                    arrow("callerOf", here, n, suffix(refer[n]))
-                elif not a and n not in ("let", "if", "when", "fn", "do", "cond", "loop", "recur"):
-                    arrow("callerOf", here, n)
-            for k in re.findall(r"\(throw\b.*?(:[\w.\-]+/[\w.\-]+)", code):
-                elem("symbol", k, i)
-                arrow("throws", here, k)
-    return rows
-
-
 EXTRACTORS: dict[str, Extractor] = {".ts": extract_typescript, ".tsx": extract_typescript, ".clj": extract_clojure, ".cljs": extract_clojure, ".cljc": extract_clojure}
 
 
@@ -188,26 +64,29 @@ def stage(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> D
     return files.select("file", "text").mapInPandas(run, STAGED)
 
 
-def resolve_specifier(file: str, spec: str) -> str:
+def resolve_specifier(file: Column, spec: Column) -> Column:
     """Path of a relative import against its file, `.js` read as `.ts`; other specifiers stay."""
-    if not spec.startswith("."):
-        return spec
-    parts = file.split("/")[:-1]
-    for p in spec.split("/"):
-        if p == "..":
-            parts = parts[:-1]
-        elif p != ".":
-            parts.append(p)
-    path = re.sub(r"\.js(x?)$", r".ts\1", "/".join(parts))
-    return path if re.search(r"\.\w+$", path) else path + ".ts"
+    folder = F.slice(F.split(file, "/"), 1, F.size(F.split(file, "/")) - 1)
+    up = lambda parts, p: F.when(p == "..", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).when(p == ".", parts).otherwise(F.concat(parts, F.array(p)))
+    path = F.regexp_replace(F.array_join(F.aggregate(F.split(spec, "/"), folder, up), "/"), r"\.js(x?)$", ".ts$1")
+    full = F.when(path.rlike(r"\.\w+$"), path).otherwise(F.concat(path, F.lit(".ts")))
+    return F.when(spec.startswith("."), full).otherwise(spec)
 
 
 def cross_file(pending: DataFrame, elems: DataFrame) -> DataFrame:
     """(pending_id, dst_id): pending (pending_id, name, hint) finds the one element of that name whose module ends
     with the hint, or, without a hint, the one element of that name at all; none or several find nothing."""
-    hit = pending.join(elems.select("name", F.col("id").alias("dst_id"), F.col("module").alias("in_module")), "name")
-    ok = hit.where(F.col("hint").isNull() | F.col("in_module").endswith(F.col("hint")))
-    return ok.groupBy("pending_id").agg(F.count(F.lit(1)).alias("n"), F.min("dst_id").alias("dst_id")).where("n = 1").select("pending_id", "dst_id")
+    known = elems.select("name", F.col("id").alias("dst_id"), F.col("module").alias("in_module"))
+    only = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("dst_id").alias("dst_id")).where("n = 1").drop("n")
+    bare = pending.where("hint IS NULL").select("pending_id", "name").join(only, "name").select("pending_id", "dst_id")
+    # a hint is a suffix of a path: its last part joins, so that one common name does not meet all modules
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    far = pending.where("hint IS NOT NULL").withColumn("part", last("hint"))
+    whole = far.where(F.col("hint").contains("/")).join(known.withColumn("part", last("in_module")), ["name", "part"])
+    ends = far.where(~F.col("hint").contains("/")).select("pending_id", "name", "hint").join(known, "name")
+    hit = whole.select("pending_id", "hint", "in_module", "dst_id").unionByName(ends.select("pending_id", "hint", "in_module", "dst_id"))
+    ok = hit.where(F.col("in_module").endswith(F.col("hint"))).groupBy("pending_id").agg(F.count(F.lit(1)).alias("n"), F.min("dst_id").alias("dst_id")).where("n = 1")
+    return bare.unionByName(ok.select("pending_id", "dst_id"))
 
 
 def extraction_errors(staged: DataFrame) -> DataFrame:
@@ -219,7 +98,6 @@ def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     """The resolved graph of staged rows."""
     scratch = Scratch(staged.sparkSession, "code")  # extraction runs once; each table below is read several times
     staged = scratch.write(staged, "staged")
-    resolve = F.udf(lambda file, spec: None if file is None or spec is None else resolve_specifier(file, spec), "string", useArrow=True)
     e0 = staged.where("row IN ('elem', 'prop')")
     span = F.format_string("%s:%d:%d-%d:%d", "file", "line", "col", "end_line", "end_col")
     elem = e0.select("file", "seq", "row", F.concat_ws(":", F.lit("module"), "file", F.col("line").cast("string"), F.col("col").cast("string"), "kind", "name").alias("id"), "kind", "name", span.alias("span"), "attrs", F.col("src").alias("parent"))
@@ -236,12 +114,12 @@ def build_graph(staged: DataFrame, sha: str = "", at: int = 0) -> Graph:
     inside = at_src.join(local.select("file", F.col("name").alias("dst"), F.col("id").alias("dst_id")), ["file", "dst"], "left")
     near = inside.where("dst_id IS NOT NULL AND dst_module IS NULL").select("src_id", "kind", "dst_id")
     far = inside.where("dst_id IS NULL OR dst_module IS NOT NULL")
-    hint = F.when(F.col("dst_module").startswith("."), resolve("file", "dst_module")).otherwise(F.col("dst_module"))
+    hint = F.when(F.col("dst_module").startswith("."), resolve_specifier(F.col("file"), F.col("dst_module"))).otherwise(F.col("dst_module"))
     waiting = far.select(F.concat_ws("\0", "src_id", "kind", "dst", F.coalesce(hint, F.lit(""))).alias("pending_id"), "src_id", "kind", F.col("dst").alias("name"), hint.alias("hint")).dropDuplicates(["pending_id"])
     found = cross_file(waiting.select("pending_id", "name", "hint"), own.where("kind <> 'import'"))
     across = waiting.join(found, "pending_id").where("src_id <> dst_id").select("src_id", "kind", "dst_id")
 
-    imports = staged.where("row = 'arrow' AND kind = 'importsFrom'").withColumn("target", resolve("file", "dst_module")).join(local.select("file", F.col("name").alias("src"), F.col("id").alias("src_id")), ["file", "src"])
+    imports = staged.where("row = 'arrow' AND kind = 'importsFrom'").withColumn("target", resolve_specifier(F.col("file"), F.col("dst_module"))).join(local.select("file", F.col("name").alias("src"), F.col("id").alias("src_id")), ["file", "src"])
     modules = imports.select(F.concat(F.lit("module:"), "target").alias("id"), F.lit("module").alias("kind"), F.col("target").alias("name"), F.col("target").alias("module"), F.lit(None).cast("string").alias("span"), F.lit("{}").alias("attrs")).dropDuplicates(["id"])
     import_arrows = imports.select("src_id", F.lit("importsFrom").alias("kind"), F.concat(F.lit("module:"), "target").alias("dst_id"))
 
