@@ -125,17 +125,23 @@ def statistics(docs: DataFrame, common: list[str], keep: tuple[str, ...] = ("doc
     t = F.col("text")
     only = lambda keep_class: F.length(F.regexp_replace(t, rf"[^{keep_class}]+", ""))
     count = lambda pattern, c: F.regexp_count(c, F.lit(pattern))
-    lower = F.lower(t)
     blank = t.isNull() | ~t.rlike(r"[^\s\p{Z}\x{FEFF}\x{200B}]")
     solid = F.when(~F.col("blank"), t)
-    lines = F.filter(F.split(solid, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}]"))
-    words = F.filter(F.split(F.lower(solid), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
+    lower, lines, words, variety = F.col("low"), F.col("lines"), F.col("words"), F.col("distinct")
+    parts = F.struct(
+        F.lower(t).alias("low"),
+        F.filter(F.split(solid, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}]")).alias("lines"),
+        F.filter(F.split(F.lower(solid), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "").alias("words"),
+    )
+    # each inline keeps Catalyst from copying what it holds into every use: texts are cut into lines and words once
     first = docs.select(*keep, "text", F.inline(F.array(F.struct(blank.alias("blank")))))
+    first = first.select(*keep, "text", "blank", F.inline(F.array(parts)))
+    first = first.select("*", F.inline(F.array(F.struct(F.when(~F.col("blank"), F.size(F.array_distinct(words))).alias("distinct")))))
     sums = F.struct(
         F.coalesce(F.length("text"), F.lit(0)).alias("n"),
         _sum_lines(lines).alias("l"),
         _sum_words(words, common).alias("w"),
-        F.when(~F.col("blank"), F.size(F.array_distinct(words))).alias("distinct"),
+        variety.alias("distinct"),
         only(r"\p{L}\p{M}").alias("letters"),
         only(r"\p{N}").alias("digits"),
         only(r"\s\p{Z}").alias("spaces"),
@@ -147,7 +153,7 @@ def statistics(docs: DataFrame, common: list[str], keep: tuple[str, ...] = ("doc
         count(r"\S {2,}(?=\S)", t).alias("gaps"),
         count(r"[a-z][0-9]|[0-9][a-z]", lower).alias("mixed"),
         # words or pairs of words said again at once, where few words differ at all
-        F.when(F.size(F.array_distinct(words)) < 25, count(_ECHO, lower)).otherwise(0).alias("echoes"),
+        F.when(variety < 25, count(_ECHO, lower)).otherwise(0).alias("echoes"),
         (F.length("text") - F.length(F.regexp_replace(t, r"(\S)\1{5,}", ""))).alias("runs"),
         (F.length("text") - F.length(F.regexp_replace(t, r"\S{40,}", ""))).alias("long"),
     )
