@@ -25,7 +25,7 @@ def with_article(noun: Column) -> Column:
 
 
 def noun_phrase(name: Column, abbreviations: dict[str, str] | None = None) -> Column:
-    """'an Olog Element' for the type name OlogElem: cut where capitals begin, abbreviations spelled out, article by
+    """'a Graph Element' for the type name GraphElem: cut where capitals begin, abbreviations spelled out, article by
     the first vowel. Words of other styles are left as they are."""
     known = F.create_map(*(F.lit(x) for kv in (ABBREVIATIONS if abbreviations is None else abbreviations).items() for x in kv))
     spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")

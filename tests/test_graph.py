@@ -100,10 +100,10 @@ def test_domain(g):
     assert [(r.code_id, r.domains) for r in domain.pullbacks(g).collect()] == [("f1", ["D", "D2"])]
     k = domain.kan_extension(g)
     assert sorted((r.concept, r.dst, r.status) for r in k.collect()) == [("D", "D2", "resolved"), ("D", "f2", "tentative"), ("D2", "f4", "tentative"), ("f4", "D", "resolved")]
-    names = g.spark.createDataFrame([("OlogElem",), ("PaymentReq",), ("http-elem",), ("HTMLParser",), ("SrcId",), ("Ctor",), ("V2Val",)], "n string")
+    names = g.spark.createDataFrame([("AxisElem",), ("PaymentReq",), ("http-elem",), ("HTMLParser",), ("SrcId",), ("Ctor",), ("V2Val",)], "n string")
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in names.select(domain.noun_phrase(F.col("n"))).collect()] == ["an Olog Element", "a Payment Request", "a http-elem", "a HTML Parser", "a Source ID", "a Constructor", "a V2Val"]
+    assert [r[0] for r in names.select(domain.noun_phrase(F.col("n"))).collect()] == ["an Axis Element", "a Payment Request", "a http-elem", "a HTML Parser", "a Source ID", "a Constructor", "a V2Val"]
     names = g.spark.createDataFrame([("ns/http-elem",), ("load_src_id",), ("loadSrcId",), ("x",), ("a/" + "w" * 20_000,)], "n string")
     assert [r[0] for r in names.select(domain.noun_phrase_of_name(F.col("n"))).collect()] == ["a Http Elem", "a Load Src Id", "a Load Source ID", "a X", "a W" + "w" * 19_999]
     kept = domain.keepers(g, g.spark.createDataFrame([("d", "D"), ("d", "D2")], "key string, id string"))
