@@ -21,26 +21,30 @@ def analogues(g: Graph, targets: DataFrame, top: int = 3, calls: Sequence[str] =
     out. Candidates come from an inverted index of callees and of names, so that only pairs that share something are
     compared.
     """
-    e = g.elem.select("id", "kind", "name", "module")
-    t = targets.select("id").distinct().join(e, "id").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("module").alias("t_module"))
     callees = g.arr.where(F.col("kind").isin(list(calls))).select(F.col("src_id").alias("id"), "dst_id").distinct()
     size = callees.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    mine = t.select("target").join(callees.withColumnRenamed("id", "target"), "target")
-    shared = mine.join(callees, "dst_id").where("id <> target").groupBy("target", "id").agg(F.count(F.lit(1)).alias("both"))
-    same = t.join(e.select("id", F.col("name").alias("t_name")), "t_name").where("id <> target").select("target", "id", F.lit(0).cast("long").alias("both"))
-    pairs = shared.unionByName(same).groupBy("target", "id").agg(F.max("both").alias("both"))
-    pairs = pairs.join(t, "target").join(e, "id").where("kind = t_kind")
-    if other_module:
-        pairs = pairs.where("NOT (module <=> t_module)")
+    e = g.elem.select("id", "kind", "name", "module").join(size, "id", "left")
     if working_set is not None:
-        pairs = pairs.join(working_set.select("id", F.lit(0.3).alias("bonus")).distinct(), "id", "left")
+        e = e.join(working_set.select("id", F.lit(0.3).alias("bonus")).distinct(), "id", "left")
     else:
-        pairs = pairs.withColumn("bonus", F.lit(0.0))
-    sized = pairs.join(size.select(F.col("id").alias("target"), F.col("n").alias("t_n")), "target", "left").join(size, "id", "left")
+        e = e.withColumn("bonus", F.lit(0.0))
+    t = targets.select("id").distinct().join(e, "id").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("module").alias("t_module"), F.col("n").alias("t_n"))
+    shared = t.join(callees.withColumnRenamed("id", "target"), "target").join(e.join(callees, "id"), "dst_id")
+    same = t.join(e, F.col("name") == F.col("t_name"))
+
+    def rows(df: DataFrame, both: int) -> DataFrame:
+        df = df.where("id <> target AND kind = t_kind")
+        if other_module:
+            df = df.where("NOT (module <=> t_module)")
+        return df.select("target", "id", "t_n", "n", "bonus", F.coalesce(F.col("name") == F.col("t_name"), F.lit(False)).alias("named"), F.lit(both).alias("both"))
+
+    # all that a pair needs comes with it, so that pairs are shuffled once: by target, which serves sum and rank
+    pairs = rows(shared, 1).unionByName(rows(same, 0)).repartition("target")
+    pairs = pairs.groupBy("target", "id").agg(F.sum("both").alias("both"), *(F.max(c).alias(c) for c in ("t_n", "n", "bonus", "named")))
     jaccard = F.when(F.col("both") > 0, F.col("both") / (F.col("t_n") + F.col("n") - F.col("both"))).otherwise(0.0)
-    score = F.least(F.lit(1.0), F.greatest(jaccard, F.when(F.col("name") == F.col("t_name"), 0.5).otherwise(0.0)) + F.coalesce("bonus", F.lit(0.0)))
+    score = F.least(F.lit(1.0), F.greatest(jaccard, F.when(F.col("named"), 0.5).otherwise(0.0)) + F.coalesce("bonus", F.lit(0.0)))
     w = Window.partitionBy("target").orderBy(F.desc("similarity"), "id")
-    return sized.select("target", "id", score.alias("similarity")).where("similarity > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return pairs.select("target", "id", score.alias("similarity")).where("similarity > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def must_call(g: Graph, ids: DataFrame) -> DataFrame:

@@ -49,3 +49,10 @@ def test_sets_that_differ_late_or_never(spark, first):
     got = {(tuple(r.lhs), tuple(r.rhs), r.support, r.total) for r in mining.agreement(g, seeds, pairs, first).collect()}
     assert got == want and (("x",), ("y", "x"), 2, 5) in got
     assert mining.agreement(g, seeds, []).collect() == []
+
+
+@pytest.mark.parametrize("name", ["analogues_topk", "analogues_all", "brief_elements"])
+def test_pairs_of_analogues_are_shuffled_once(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1  # the exchange of pairs by target; no other meets both ends of a pair
+    assert "hashpartitioning(target" in plan and not any("target" in x and ", id" in x for x in plan.split("Exchange hashpartitioning(")[1:] for x in [x.split(")")[0]])
