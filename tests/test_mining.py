@@ -56,3 +56,23 @@ def test_pairs_of_analogues_are_shuffled_once(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == 1  # the exchange of pairs by target; no other meets both ends of a pair
     assert "hashpartitioning(target" in plan and not any("target" in x and ", id" in x for x in plan.split("Exchange hashpartitioning(")[1:] for x in [x.split(")")[0]])
+
+
+def test_a_sample_unites_only_what_its_seeds_reach(spark, sf):
+    """The end sets of what no seed reaches are not made: before, those of all elements were."""
+    g = from_rows(
+        spark.range(40).selectExpr("concat('a', id) AS id", "IF(id < 20, 'class', 'type') AS kind", "concat('n', lpad(id, 2, '0')) AS name", "'m' AS module"),
+        spark.range(20).selectExpr("'x' AS kind", "concat('a', id) AS src_id", "concat('a', id + 20) AS dst_id"),
+    )
+    seeds = mining.sample_seeds(g, ["class"], 3).selectExpr("xxhash64(seed) AS seed")
+    sets, number = mining._least_ends(mining._neighbourhoods(g, ["x"]), seeds, [("x",)], 8, 0)
+    assert number == {(): 0, ("x",): 1} and sets.count() == 3
+
+
+def test_whole_ends_are_not_sent_for_each_neighbour(spark):
+    """300 seeds share 200 neighbours that reach 100 ends each: sets go once to each part, not along 60,000 arrows."""
+    arr = spark.range(300).selectExpr("'x' AS kind", "concat('s', id) AS src_id", "explode(sequence(0, 199)) AS d", "id").where("pmod(xxhash64(id, d), 17) > 0").selectExpr("kind", "src_id", "concat('m', d) AS dst_id")
+    arr = arr.unionByName(spark.range(200).selectExpr("'y' AS kind", "concat('m', id) AS src_id", "explode(sequence(0, 99)) AS d", "id").selectExpr("kind", "src_id", "concat('t', (id * 31 + d * d) % 5000) AS dst_id"))
+    elem = arr.selectExpr("explode(array(src_id, dst_id)) AS id", "'class' AS kind").distinct().selectExpr("id", "kind", "id AS name", "'m' AS module")
+    g = from_rows(elem, arr)
+    assert shuffled(spark, lambda: mining.agreement(g, mining.sample_seeds(g, ["class"], None), [(["x"], ["x", "y"]), (["y"], ["x", "y"])], 128).collect()) < 6
