@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from arrowlens.operators.constraints import about_element, first_provenance
 from arrowlens.operators.graph import Graph
 from arrowlens.operators.traverse import related
+from arrowlens.runtime import Scratch
 from arrowlens.sources.snippets import element_spans, signature, snippet
 
 CALLS = ("callerOf", "calls")
@@ -18,19 +19,27 @@ def analogues(g: Graph, targets: DataFrame, top: int = 3, calls: Sequence[str] =
     """(target, id, similarity, rank): for each target the elements of its kind, in other modules, most like it.
 
     similarity = min(1, max(Jaccard of callees, 0.5 if the names are equal) + 0.3 if in the working set); 0 is left
-    out. Candidates come from an inverted index of callees and of names, so that only pairs that share something are
-    compared.
+    out. Candidates come from an inverted index of callees, so that only pairs that share something are compared, and
+    of each name from the elements that come first: of all that share but the name these are the best.
     """
-    callees = g.arr.where(F.col("kind").isin(list(calls))).select(F.col("src_id").alias("id"), "dst_id").distinct()
-    size = callees.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    e = g.elem.select("id", "kind", "name", "module").join(size, "id", "left")
+    callees = g.arr.where(F.col("kind").isin(list(calls))).select(F.col("src_id").alias("id"), "dst_id").repartition("id").distinct()
+    callees = Scratch(g.spark, "callees").write(callees.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))), "callees")
+    e = g.elem.select("id", "kind", "name", "module")
     if working_set is not None:
         e = e.join(working_set.select("id", F.lit(0.3).alias("bonus")).distinct(), "id", "left")
     else:
         e = e.withColumn("bonus", F.lit(0.0))
-    t = targets.select("id").distinct().join(e, "id").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("module").alias("t_module"), F.col("n").alias("t_n"))
-    shared = t.join(callees.withColumnRenamed("id", "target"), "target").join(e.join(callees, "id"), "dst_id")
-    same = t.join(e, F.col("name") == F.col("t_name"))
+    t = targets.select("id").distinct().join(e, "id").select(F.col("id").alias("target"), F.col("kind").alias("t_kind"), F.col("name").alias("t_name"), F.col("module").alias("t_module"))
+    shared = t.join(callees.select(F.col("id").alias("target"), "dst_id", F.col("n").alias("t_n")), "target").join(e.join(callees, "id"), "dst_id")
+    # those of the target's own module, or itself, are `top` or one of the first at most
+    best = [F.coalesce("bonus", F.lit(0.0)).desc(), F.col("id")]
+    among = lambda *keys: F.dense_rank().over(Window.partitionBy(*keys).orderBy(*best))
+    first = e.where("name IS NOT NULL")
+    if other_module:
+        first = first.withColumn("_rn", among("kind", "name", "module")).where(F.col("_rn") <= top)
+    first = first.withColumn("_rn", among("kind", "name")).where(F.col("_rn") <= (2 * top if other_module else top + 1))
+    no_n = F.lit(None).cast("long")
+    same = t.withColumn("t_n", no_n).join(first.drop("_rn").withColumn("n", no_n), (F.col("name") == F.col("t_name")) & (F.col("kind") == F.col("t_kind")))
 
     def rows(df: DataFrame, both: int) -> DataFrame:
         df = df.where("id <> target AND kind = t_kind")
