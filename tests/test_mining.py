@@ -98,3 +98,11 @@ def test_the_bare_code_graph_is_mined_without_a_copy(spark, sf, monkeypatch):
 
     monkeypatch.setattr(code_queries, "Scratch", None)
     assert entry.queries()["mine_coverage_code"](spark, sf).count() > 0
+
+
+def test_equations_are_mined_without_a_stored_lens(spark, sf, tmp_path):
+    from arrowlens.sources import lens
+
+    (tmp_path / "tables").symlink_to(sf)
+    entry.queries()["mine_equations"](spark, str(tmp_path / "tables"))
+    assert not any(d == str(tmp_path / "tables") for _, d in lens._STORED)
