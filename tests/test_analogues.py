@@ -55,3 +55,37 @@ def test_a_name_of_many_makes_few_pairs(spark):
     assert rows_shuffled(spark, lambda: got.extend(context.analogues(g, g.elem.select("id")).collect())) < 50_000
     by = {t: [r.id for r in sorted(rows, key=lambda r: r["rank"])] for t, rows in itertools.groupby(sorted(got, key=lambda r: r.target), lambda r: r.target)}
     assert by == {t: [i for i, _, _, m in elem if m != module][:3] for t, _, _, module in elem}
+
+
+def test_a_callee_of_many_makes_few_pairs(spark):
+    """600 functions of 10 names call 8 of 40 each, so that nearly all share a callee: only pairs that can reach the 0.5
+    that a name makes are formed. Some are equal, some half equal, and one has a name of its own."""
+    rng = random.Random(5)
+    elem = {f"e{i:03}": (f"n{i % 10}" if i else "alone", f"m{i % 7}") for i in range(600)}
+    calls = {i: frozenset(rng.sample(range(40), 8)) for i in elem}
+    for i in range(100, 160, 2):
+        a, b = f"e{i:03}", f"e{i + 1:03}"
+        calls[b] = calls[a] if i % 4 else frozenset(rng.sample(sorted(calls[a]), 4))  # Jaccard 1, or 0.5 as a name's
+    g = from_rows(
+        spark.createDataFrame([(i, "function", *e) for i, e in elem.items()], ELEM),
+        spark.createDataFrame([("callerOf", i, f"p{p}") for i in calls for p in calls[i]], ARR),
+    )
+    got = []
+    assert rows_shuffled(spark, lambda: got.extend(context.analogues(g, g.elem.select("id")).collect())) < 60_000
+    want = set()
+    for t, (name, module) in elem.items():
+        scores = [(-max(len(calls[t] & calls[i]) / len(calls[t] | calls[i]), 0.5 * (n == name)), i) for i, (n, m) in elem.items() if m != module]
+        want |= {(t, i, round(-s, 9), rank) for rank, (s, i) in enumerate(sorted(x for x in scores if x[0])[:3], 1)}
+    assert {(r.target, r.id, round(r.similarity, 9), r["rank"]) for r in got} == want and any(r.similarity == 1 for r in got)
+
+
+def test_a_brief_joins_each_call_once(spark):
+    """300 functions with 30 callees each: a brief shuffles each call a few times, not once or twice for every part."""
+    elem = [(f"e{i}", "function", f"n{i % 5}", f"m{i % 3}") for i in range(300)] + [(f"p{i}", "interface", f"p{i}", "x") for i in range(900)]
+    arr = [("callerOf", f"e{i}", f"p{(i * 7 + k * 31) % 900}") for i in range(300) for k in range(30)]
+    g = from_rows(spark.createDataFrame(elem, ELEM), spark.createDataFrame(arr, ARR))
+    got = []
+    n = rows_shuffled(spark, lambda: got.extend(context.brief(g, g.elem.where("kind = 'function'").select("id")).collect()))
+    want = {s: sorted({d for _, x, d in arr if x == s}) for _, s, _ in arr}
+    assert {r.id: r.must_call for r in got} == want and {r.id: r.missing_imports for r in got} == want
+    assert n < 60_000, n
