@@ -16,11 +16,11 @@ CALLS = ("callerOf", "calls")
 
 
 def _facts(g: Graph, asked: DataFrame, top: int, calls: Sequence[str], working_set: DataFrame | None, other_module: bool, concepts: DataFrame | None = None) -> DataFrame:
-    """(num, id, known, kind, name, module, bonus, asked, near, called, callees, n, b0, b1, concepts), stored: one row for each
+    """(num, id, known, kind, name, module, bonus, asked, near, called, rest, n, b0, b1, concepts, callees), stored: one row for each
     element, asked id and id that calls something, all brought together in one shuffle.
 
     near has the first `top` of the elements that share kind and name with an asked one, called the ends of callerOf
-    arrows, callees those of all kinds of `calls`; n counts a missing end as one more. b0 and b1 are the 128 bits that
+    arrows, rest those of the other kinds of `calls`, callees all; n counts a missing end as one more. b0 and b1 are the 128 bits that
     the callees set, num is a number of the row.
     """
     scratch = Scratch(g.spark, "facts")
@@ -59,11 +59,11 @@ def _facts(g: Graph, asked: DataFrame, top: int, calls: Sequence[str], working_s
         F.collect_set(F.when(F.col("main"), F.col("dst_id"))).alias("called"), F.collect_set(F.when(~F.col("main"), F.col("dst_id"))).alias("rest"),
         F.max((F.col("main").isNotNull() & F.col("dst_id").isNull()).cast("int")).alias("endless"), bits(0).alias("b0"), bits(64).alias("b1"),
     )
-    found = found.withColumn("callees", F.when(F.size("rest") == 0, F.col("called")).otherwise(F.array_union("called", "rest")))
-    found = found.select(F.monotonically_increasing_id().alias("num"), "id", F.col("e").isNotNull().alias("known"), "e.*", F.col("near").isNotNull().alias("asked"), "near", "called", "callees", (F.size("callees") + F.col("endless")).alias("n"), "b0", "b1", "concepts")
+    callees = F.when(F.size("rest") == 0, F.col("called")).otherwise(F.array_union("called", "rest"))
+    found = found.select(F.monotonically_increasing_id().alias("num"), "id", F.col("e").isNotNull().alias("known"), "e.*", F.col("near").isNotNull().alias("asked"), "near", "called", "rest", (F.size(callees) + F.col("endless")).alias("n"), "b0", "b1", "concepts")
     found = scratch.write(found, "facts")
     scratch.free()
-    return found
+    return found.withColumn("callees", callees)  # called is not stored twice
 
 
 def _alike(facts: DataFrame, top: int, least: float) -> DataFrame:
